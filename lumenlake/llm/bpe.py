@@ -9,6 +9,7 @@ Decoding gathers bytes through a table of offsets into the joined vocabulary.
 
 from __future__ import annotations
 
+import gc
 import json
 import re
 
@@ -57,11 +58,13 @@ class Bpe:
         self.made_at = {self.ids[self.bytes_of[a] + self.bytes_of[b]]: r for (a, b), r in reversed(self.rank.items())}
         self.automaton = ahocorasick.Automaton()
         for token, i in self.ids.items():
-            self.automaton.add_word(token.decode("latin-1"), i)
+            self.automaton.add_word(token.decode("latin-1"), (i, len(token) - 1))
         self.automaton.make_automaton()
         self.shorter = Memo(self._shorter, 200_000)
         self.compatible = Memo(self._compatible, 400_000)
-        self.runs = Memo(self._run, 250_000)
+        self.pieces = Memo(self._piece, 400_000)
+        self.runs = Memo(self._run, 20_000)
+        self.spaced = Memo(self._spaced, 250_000)
         n = max(self.bytes_of) + 1
         self.lengths = np.array([len(self.bytes_of.get(i, b"")) for i in range(n)], np.int64)
         self.starts = np.concatenate([[0], np.cumsum(self.lengths)[:-1]])
@@ -117,26 +120,36 @@ class Bpe:
         return len(piece) == 1 or token in self.parts
 
     def _longest(self, piece: bytes) -> list[int]:
-        """The longest token from each place on, from the automaton's matches by their ends."""
+        """The longest token from each place on: matches come by their ends, so the last one from a place is its longest."""
         out = [-1] * len(piece)
-        for end, token in self.automaton.iter(piece.decode("latin-1")):
-            at = end + 1 - len(self.bytes_of[token])
-            if out[at] < 0 or len(self.bytes_of[token]) > len(self.bytes_of[out[at]]):
-                out[at] = token
+        for end, (token, back) in self.automaton.iter(piece.decode("latin-1")):
+            out[end - back] = token
         return out
 
+    def _piece(self, piece: str) -> bytes:
+        return np.array(self.encode_piece(piece.encode("utf-8")), "<u4").tobytes()
+
     def _run(self, run: str) -> bytes:
-        ids = [i for p in PIECES.findall(run) for i in self.encode_piece(p.encode("utf-8"))]
-        return np.array(ids, "<u4").tobytes()
+        return b"".join(map(self.pieces.__getitem__, PIECES.findall(run)))
+
+    def _spaced(self, run: str) -> bytes:
+        return self._run(" " + run)
+
+    def plain(self, text: str) -> bytes:
+        """Without special tokens. A space begins a piece unless two white spaces meet there; so single spaces are where to split."""
+        if "  " in text:
+            return b"".join(map(self.runs.__getitem__, RUNS.findall(text)))
+        first, *rest = text.split(" ")
+        return self.runs[first] + b"".join(map(self.spaced.__getitem__, rest))
 
     def encode(self, text: str) -> np.ndarray:
         if self.marks is None or not self.marks.search(text):
-            return np.frombuffer(b"".join(map(self.runs.__getitem__, RUNS.findall(text))), "<u4")
+            return np.frombuffer(self.plain(text), "<u4")
         out, at = [], 0
         for m in self.marks.finditer(text):
-            out += [*map(self.runs.__getitem__, RUNS.findall(text[at : m.start()])), np.uint32(self.special[m.group()]).astype("<u4").tobytes()]
+            out += [self.plain(text[at : m.start()]), np.array([self.special[m.group()]], "<u4").tobytes()]
             at = m.end()
-        return np.frombuffer(b"".join([*out, *map(self.runs.__getitem__, RUNS.findall(text[at:]))]), "<u4")
+        return np.frombuffer(b"".join([*out, self.plain(text[at:])]), "<u4")
 
     def decode(self, ids: np.ndarray) -> bytes:
         if not len(ids):
@@ -151,6 +164,7 @@ _loaded: dict[str, Bpe] = {}
 
 def loaded(path: str) -> Bpe:
     if path not in _loaded:
+        gc.set_threshold(200_000, 20, 100)  # the caches hold strings and numbers only
         _loaded[path] = Bpe(path)
     return _loaded[path]
 

@@ -11,6 +11,10 @@ a third of all rows is still spread over all tasks.
 from __future__ import annotations
 
 import bisect
+import gc
+import os
+import re
+import struct
 import zlib
 from collections import defaultdict
 
@@ -20,6 +24,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .bpe import byte_letters
 from .common import Memo, materialize, table
 
 CAPACITY = 2048
@@ -30,28 +35,43 @@ BUCKET_ROWS = 4096
 
 
 class Chunks:
-    """Ids by the tokenizers library, kept by whitespace-separated chunk: no token of this vocabulary crosses white space."""
+    """Ids by the tokenizers library, kept by chunk without white space and by piece: no token of this vocabulary crosses either.
 
-    odd = frozenset("\x1c\x1d\x1e\x1f")  # white space to str.split() only
+    A piece that is not yet known goes straight to the library's merges; chunks beyond Latin letters go to the library as they are.
+    """
 
-    def __init__(self, path: str):
-        import os
+    odd = frozenset("\x1c\x1d\x1e\x1f")  # white space to str.split() only
+    #: Texts and chunks of these characters keep to them in lower case and under NFC.
+    latin = re.compile("[\t-\r\x20-\x7e\xa1-\u012f\u0131-\u017f]*")
+    pieces = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\u017f]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|[^\\sa-z0-9\xaa\xb2\xb3\xb5\xb9\xba\xbc-\xbe\xdf-\xf6\xf8-\u017f]+")
 
+    def __init__(self, path: str, bound: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
-        self.known = Memo(self.of_chunk, 250_000)
+        self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
+        self.letters = {b: c for c, b in byte_letters().items()}
+        self.of_chunk, self.of_piece = Memo(self.whole, bound // 4), Memo(self.merged, bound)
+        gc.set_threshold(200_000, 20, 100)  # the caches hold strings only
+
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def of_chunk(self, chunk: str) -> bytes:
-        return np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
+    def merged(self, piece: str) -> bytes:
+        ids = [t.id for t in self.tokenizer.model.tokenize(piece.encode("utf-8").decode("latin-1").translate(self.letters))]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def ids(self, text: str) -> np.ndarray:
-        if self.odd.isdisjoint(text):
-            return np.frombuffer(b"".join(map(self.known.__getitem__, text.split())), "<u4")
-        return np.frombuffer(self.of_chunk(text), "<u4")
+        if self.latin.fullmatch(text) and not any(x in text for x in self.special):
+            found = map(self.of_piece.__getitem__, self.pieces.findall(text.lower()))
+        elif self.odd.isdisjoint(text):
+            found = map(self.of_chunk.__getitem__, text.split())
+        else:
+            found = [self.whole(text)]
+        return np.frombuffer(b"".join(found), "<u4")
 
 
 def cut(docs: DataFrame, path: str, capacity: int = CAPACITY, keep_ids: bool = False) -> DataFrame:
