@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Memo, table
+from .common import Memo, small_batches, table
 
 VOCABULARY = "byte_bpe_50k.json"
 #: White space as Unicode has it; str and re also count four ASCII separators.
@@ -60,11 +60,11 @@ class Bpe:
         for token, i in self.ids.items():
             self.automaton.add_word(token.decode("latin-1"), (i, len(token) - 1))
         self.automaton.make_automaton()
-        self.shorter = Memo(self._shorter, 200_000)
-        self.compatible = Memo(self._compatible, 400_000)
-        self.pieces = Memo(self._piece, 400_000)
+        self.shorter = Memo(self._shorter, 60_000)
+        self.compatible = Memo(self._compatible, 150_000)
+        self.pieces = Memo(self._piece, 150_000)
         self.runs = Memo(self._run, 20_000)
-        self.spaced = Memo(self._spaced, 250_000)
+        self.spaced = Memo(self._spaced, 120_000)
         n = max(self.bytes_of) + 1
         self.lengths = np.array([len(self.bytes_of.get(i, b"")) for i in range(n)], np.int64)
         self.starts = np.concatenate([[0], np.cumsum(self.lengths)[:-1]])
@@ -175,6 +175,7 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     Row by row: repeated rows and null ids stay; other columns are not read.
     """
     path = path or public_tokenizers.path(VOCABULARY)
+    small_batches(docs.sparkSession)
 
     @F.pandas_udf("binary")
     def ids(texts: pd.Series) -> pd.Series:

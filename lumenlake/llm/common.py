@@ -51,10 +51,15 @@ def join_classes(rows: DataFrame, classes: DataFrame, key: str, size: str, total
     return of_hot.unionByName(of_cold)
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Python workers get whole texts in batches of so many rows: their memory is bounded by this, not by the partition."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 class Memo(dict):
     """A bounded cache of a pure function; it starts anew when full."""
 
-    def __init__(self, f, bound: int = 400_000):
+    def __init__(self, f, bound: int = 150_000):
         self.f, self.bound = f, bound
 
     def __missing__(self, key):

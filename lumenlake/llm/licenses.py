@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Memo, table, utf8
+from .common import Memo, small_batches, table, utf8
 
 #: The base phrases and their labels.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -96,6 +96,7 @@ def scan(spark: SparkSession, docs: DataFrame, base: dict[str, str] | None = Non
     score: the best cover of a template. Null text: no words.
     Rows with equal ids stay apart. An empty table gives no rows.
     """
+    small_batches(spark)
     t = F.broadcast(templates(spark, BASE if base is None else base, NOTICES if notices is None else notices))
     found = grams(docs).join(t, (F.col("gram") == F.col("t_gram")) & (F.col("proof") == F.col("t_proof")) & (F.col("pos") >= 0), "left").where("pos < 0 or template is not null")
     key = ["doc_id", "row"]

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, utf8
+from .common import small_batches, table, utf8
 
 FRAME = 192
 FRAMES_PER_BLOCK = 64
@@ -157,6 +157,8 @@ def media(docs: DataFrame) -> DataFrame:
     Null text: empty, that is FRAME spaces. Row by row: repeated rows and null ids stay; other columns are not read.
     """
 
+    small_batches(docs.sparkSession)
+
     @F.pandas_udf("n_bytes long, media binary")
     def store(texts: pd.Series) -> pd.DataFrame:
         raw = [utf8(t) for t in texts]

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import byte_letters
-from .common import Memo, materialize, table
+from .common import Memo, materialize, small_batches, table
 
 CAPACITY = 2048
 VOCABULARY = "word_bpe_49k.json"
@@ -45,7 +45,7 @@ class Chunks:
     latin = re.compile("[\t-\r\x20-\x7e\xa1-\u012f\u0131-\u017f]*")
     pieces = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\u017f]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|[^\\sa-z0-9\xaa\xb2\xb3\xb5\xb9\xba\xbc-\xbe\xdf-\xf6\xf8-\u017f]+")
 
-    def __init__(self, path: str, bound: int = 500_000):
+    def __init__(self, path: str, bound: int = 200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -152,6 +152,7 @@ def pack(spark: SparkSession, docs: DataFrame, path: str | None = None, capacity
     sequence_id, offset (and ids). Null or empty text: one piece with END_ID alone. An empty table gives no rows;
     repeated rows are packed once each; further columns of docs are not read.
     """
+    small_batches(spark)
     pieces = materialize(cut(docs, path or public_tokenizers.path(VOCABULARY), capacity, keep_ids), "pieces")
     histogram = {r.length: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows
     intervals, _ = plan(histogram, capacity)

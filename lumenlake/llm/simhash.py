@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import join_classes, materialize, table, utf8
+from .common import join_classes, materialize, small_batches, table, utf8
 
 SHINGLE = 3
 THRESHOLD = 3
@@ -130,6 +130,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
     Texts without words (null, empty) have fingerprint zero and are linked like any other. Repeated rows stay; a
     null doc_id takes part and never is the smallest unless alone. An empty table gives no rows. Other columns are not read.
     """
+    small_batches(spark)
     rows = materialize(fingerprints(docs), "fingerprints")
     fps = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "distinct")
     roots = components(links(fps))

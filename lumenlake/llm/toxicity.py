@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Memo, table
+from .common import Memo, small_batches, table
 
 MAX_TRAIN = 8000
 MAX_LEXICON = 4000
@@ -118,6 +118,7 @@ def training_texts(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def learn(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, float], np.ndarray]:
     """Lexicon and logistic weights. No labels at all: an empty lexicon and a prior that predicts 0."""
+    small_batches(docs.sparkSession)
     texts = training_texts(docs, labels).persist()
 
     def count(batches):

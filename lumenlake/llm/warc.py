@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, In, InputPartition
 
-from .common import join_classes, materialize, new_path, table
+from .common import join_classes, materialize, new_path, small_batches, table
 
 END = "\r\n\r\n"
 DATE = "2024-01-01T00:00:00Z"
@@ -144,6 +144,7 @@ def write(spark: SparkSession, pages: DataFrame, path: str) -> None:
 
     Null html is empty, null url is an empty URI; line ends in a URI become %0A and %0D. page_id is taken as unique and not null.
     """
+    small_batches(spark)
     html = F.coalesce("html", F.lit(""))
     ids = materialize(pages.select("page_id", sha1_base32(html.cast("binary")).alias("digest")), "digests")
     latest = materialize(ids.groupBy("digest").agg(F.max("page_id").alias("response"), F.count("*").alias("n")), "responses")
