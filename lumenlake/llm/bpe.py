@@ -62,12 +62,13 @@ class Bpe:
         self.automaton.make_automaton()
         self.shorter = Memo(self._shorter, 60_000)
         self.compatible = Memo(self._compatible, 150_000)
-        self.pieces = Memo(self._piece, 150_000)
+        self.pieces = Memo(self._piece, 400_000)
         self.runs = Memo(self._run, 20_000)
-        self.spaced = Memo(self._spaced, 120_000)
+        self.spaced = Memo(self._spaced, 200_000)
         n = max(self.bytes_of) + 1
         self.lengths = np.array([len(self.bytes_of.get(i, b"")) for i in range(n)], np.int64)
         self.starts = np.concatenate([[0], np.cumsum(self.lengths)[:-1]])
+        self.size = self.lengths.tolist()
         self.blob = np.frombuffer(b"".join(self.bytes_of.get(i, b"") for i in range(n)), np.uint8)
         self.marks = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
 
@@ -96,13 +97,13 @@ class Bpe:
     def encode_piece(self, piece: bytes) -> list[int]:
         if (whole := self.ids.get(piece)) is not None and self._whole(piece, whole):
             return [whole]
-        longest = self._longest(piece)
+        longest, size, compatible = self._longest(piece), self.size, self.compatible
         out: list[int] = []
         dead = bytearray(len(piece) + 1)
         at, token = 0, longest[0]
         while True:
-            end = at + len(self.bytes_of[token])
-            if not dead[end] and (not out or self.compatible[out[-1], token]):
+            end = at + size[token]
+            if not dead[end] and (not out or compatible[out[-1], token]):
                 out.append(token)
                 at = end
                 if at == len(piece):
@@ -113,7 +114,7 @@ class Bpe:
             while token < 0:
                 dead[at] = 1
                 token = out.pop()
-                at -= len(self.bytes_of[token])
+                at -= size[token]
                 token = self.shorter[token]
 
     def _whole(self, piece: bytes, token: int) -> bool:
