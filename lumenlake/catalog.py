@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .functions import text
 from .operators import metrics, rules, similarity, temporal
+from .plans import evaluation, training
 from .streaming import ledger
 
 
@@ -184,3 +185,6 @@ SQL = {
     "latency_percentiles": "SELECT event_type, round(quantile_disc(value, 0.5), 6) AS p50, round(quantile_disc(value, 0.95), 6) AS p95, round(quantile_disc(value, 0.99), 6) AS p99 FROM events GROUP BY 1",
     "mae_vs_median": "SELECT o_orderpriority, round(avg(abs(y - m)), 4) AS mae, round(max(m), 4) AS median FROM (SELECT o_orderpriority, o_totalprice::double AS y, median(o_totalprice::double) OVER (PARTITION BY o_orderpriority) AS m FROM orders) GROUP BY 1",
 }
+
+QUERIES |= evaluation.QUERIES | training.QUERIES
+SQL |= evaluation.SQL
