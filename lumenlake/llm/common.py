@@ -42,12 +42,12 @@ def join_classes(rows: DataFrame, classes: DataFrame, key: str, size: str, total
     """Inner join of many rows to their class (one per key), safe for hot keys.
 
     Classes with over total / HOT_SHARE rows number under HOT_SHARE: they are broadcast, the rest is
-    an ordinary join in which no key holds more rows than that. Neither input should be costly to read twice.
+    a sort-merge join in which no key holds more rows than that: nothing bounds the size of the cold classes. Neither input should be costly to read twice.
     """
     limit = max(HOT_ROWS, total // HOT_SHARE)
     hot, cold = classes.where(F.col(size) > limit), classes.where(F.col(size) <= limit)
     of_hot = rows.join(F.broadcast(hot), key)
-    of_cold = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key)
+    of_cold = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold.hint("merge"), key)
     return of_hot.unionByName(of_cold)
 
 
