@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lumenlake.llm import packing, simhash, substrings, toxicity
 from lumenlake.llm.common import materialize, table
@@ -15,9 +16,12 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of linked fingerprints the document with the smallest doc_id stays."""
-    kept = simhash.near_duplicates(spark, docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi")
+    """Of each component of linked fingerprints the document with the smallest doc_id stays; so do rows without an id.
+
+    The ids that go are the smaller side. Nothing bounds their number, so they are not broadcast.
+    """
+    found = simhash.near_duplicates(spark, docs).where("doc_id is not null").groupBy("doc_id").agg(F.every(F.col("doc_id") != F.col("component_id")).alias("goes"))
+    return docs.join(found.where("goes").hint("merge"), "doc_id", "left_anti").select(*docs.columns)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
