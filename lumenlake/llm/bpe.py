@@ -12,6 +12,7 @@ from __future__ import annotations
 import gc
 import json
 import re
+import struct
 
 import ahocorasick
 import numpy as np
@@ -64,7 +65,7 @@ class Bpe:
         self.compatible = Memo(self._compatible, 150_000)
         self.pieces = Memo(self._piece, 400_000)
         self.runs = Memo(self._run, 20_000)
-        self.spaced = Memo(self._spaced, 200_000)
+        self.spaced = Memo(self._spaced, 400_000)
         n = max(self.bytes_of) + 1
         self.lengths = np.array([len(self.bytes_of.get(i, b"")) for i in range(n)], np.int64)
         self.starts = np.concatenate([[0], np.cumsum(self.lengths)[:-1]])
@@ -128,13 +129,15 @@ class Bpe:
         return out
 
     def _piece(self, piece: str) -> bytes:
-        return np.array(self.encode_piece(piece.encode("utf-8")), "<u4").tobytes()
+        ids = self.encode_piece(piece.encode("utf-8"))
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def _run(self, run: str) -> bytes:
         return b"".join(map(self.pieces.__getitem__, PIECES.findall(run)))
 
     def _spaced(self, run: str) -> bytes:
-        return self._run(" " + run)
+        """ASCII letters alone are one piece with the space before them; the pre-tokenizer has nothing to split."""
+        return self.pieces[" " + run] if run.isascii() and run.isalpha() else self._run(" " + run)
 
     def plain(self, text: str) -> bytes:
         """Without special tokens. A space begins a piece unless two white spaces meet there; so single spaces are where to split."""
