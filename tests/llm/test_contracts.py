@@ -212,6 +212,28 @@ def test_substrings(spark):
     assert substrings.passages(spark, docs.limit(0)).count() == 0
 
 
+def documents_of(spark, texts):
+    return spark.createDataFrame([(k, " ".join(t)) for k, t in texts.items()], "doc_id long, text string")
+
+
+def test_substrings_pieces_of_a_chain(spark):
+    rng = np.random.default_rng(14)  # seeds of this draw are near enough to bridge the 30 words
+    word = lambda n: [f"w{x}" for x in rng.integers(0, 10**6, n)]
+    head, foot = word(55), word(55)
+    texts = {1: word(30) + head + word(30) + foot + word(30), 2: word(7) + head + word(30) + foot + word(9)}
+    got = {(r.first_word, r.n_words, r.of_first_word, r.of_n_words, r.similarity) for r in substrings.passages(spark, documents_of(spark, texts)).collect()}
+    assert got == {(7, 55, 30, 55, 1.0), (92, 55, 115, 55, 1.0)}
+
+
+def test_aligned_places():
+    rng = np.random.default_rng(12)
+    for _ in range(200):
+        x, y = rng.integers(0, 4, rng.integers(0, 30)).tolist(), rng.integers(0, 4, rng.integers(0, 30)).tolist()
+        got = substrings.aligned_places(x, y)
+        assert len(got) == substrings.common_words(x, y) and all(x[i] == y[j] for i, j in got)
+        assert all(a[0] < b[0] and a[1] < b[1] for a, b in zip(got, got[1:]))
+
+
 def test_chains_best_predecessor():
     assert substrings.chains([0, 10, 20, 20], [0, 10, 5, 20]) in ([[0, 1, 3], [2]],)
 
