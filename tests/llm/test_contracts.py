@@ -225,6 +225,13 @@ def test_substrings_pieces_of_a_chain(spark):
     assert got == {(7, 55, 30, 55, 1.0), (92, 55, 115, 55, 1.0)}
 
 
+def test_chains_after_a_block_left_out():
+    """A long chain, then a block of 150 words that only the other text has: what follows is one chain of its own."""
+    a = list(range(0, 600, 8))
+    c = [x if x < 400 else x + 150 for x in a]
+    assert sorted(map(len, substrings.chains(a, c))) == [25, 50]
+
+
 def test_aligned_places():
     rng = np.random.default_rng(12)
     for _ in range(200):
