@@ -225,6 +225,30 @@ def test_substrings_pieces_of_a_chain(spark):
     assert got == {(7, 55, 30, 55, 1.0), (92, 55, 115, 55, 1.0)}
 
 
+@pytest.mark.parametrize("n_lines", [3, 90])
+def test_substrings_of_frequent_lines(spark, n_lines):
+    """Documents 900 and 901 share a passage of six lines, each of which n_lines earlier documents have first."""
+    rng = np.random.default_rng(13)
+    word = lambda n: [f"w{x}" for x in rng.integers(0, 10**6, n)]
+    lines = [word(24) for _ in range(6)]
+    texts = {100 * k + i: word(60) + line + word(60) for k, line in enumerate(lines) for i in range(n_lines)}
+    shared = sum(lines, [])
+    texts |= {900: word(40) + shared + word(30), 901: word(20) + shared + word(50)}
+    got = substrings.passages(spark, documents_of(spark, texts)).collect()
+    assert {(r.doc_id, r.of_doc_id, r.of_first_word - r.first_word) for r in got} == {(901, 900, 20)}
+    assert {i for r in got for i in range(r.first_word, r.first_word + r.n_words)} == set(range(20, 164))
+
+
+def test_substrings_passage_in_parts_of_two_documents(spark):
+    """Of the 80 words that 3 repeats from 2, document 1 has the first 40: no part that is matched with one first occurrence has 50."""
+    rng = np.random.default_rng(15)
+    word = lambda n: [f"w{x}" for x in rng.integers(0, 10**6, n)]
+    shared = word(80)
+    texts = {1: word(50) + shared[:40] + word(50), 2: word(30) + shared + word(30), 3: word(10) + shared + word(70)}
+    got = [(r.doc_id, r.of_doc_id, r.first_word, r.n_words) for r in substrings.passages(spark, documents_of(spark, texts)).collect()]
+    assert got == [(3, 2, 10, 80)]
+
+
 def test_chains_after_a_block_left_out():
     """A long chain, then a block of 150 words that only the other text has: what follows is one chain of its own."""
     a = list(range(0, 600, 8))
