@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import xxhash
@@ -19,11 +18,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir; one of our own only where it is unset."""
+    """The folder that the cluster names in spark.checkpoint.dir. There is no fallback: a folder of one machine would lose data."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="lumenlake-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return found.rstrip("/")
 
 
@@ -32,17 +30,28 @@ def new_path(spark: SparkSession, tag: str) -> str:
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Cuts lineage: writes a Parquet table to the shared folder once, and reads it again."""
+    """Cuts lineage: writes a Parquet table to the shared folder once, and reads it again. discard() deletes it."""
     path = new_path(df.sparkSession, tag)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that materialize() wrote and that no later result reads."""
+    for df in tables:
+        spark = df.sparkSession
+        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            if path.startswith(("file:", "hdfs:", "s3", "gs:", "abfs", "viewfs:", "/")) and "/part-" not in path:
+                where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def join_classes(rows: DataFrame, classes: DataFrame, key: str, size: str, total: int) -> DataFrame:
     """Inner join of many rows to their class (one per key), safe for hot keys.
 
-    Classes with over total / HOT_SHARE rows number under HOT_SHARE: they are broadcast, the rest is
-    a sort-merge join in which no key holds more rows than that: nothing bounds the size of the cold classes. Neither input should be costly to read twice.
+    Classes with over total / HOT_SHARE rows number under HOT_SHARE: they are broadcast. The rest is a sort-merge join in
+    which a key holds at most that share of the rows; adaptive execution splits partitions that it makes too large.
+    Neither input should be costly to read twice.
     """
     limit = max(HOT_ROWS, total // HOT_SHARE)
     hot, cold = classes.where(F.col(size) > limit), classes.where(F.col(size) <= limit)
@@ -51,9 +60,15 @@ def join_classes(rows: DataFrame, classes: DataFrame, key: str, size: str, total
     return of_hot.unionByName(of_cold)
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Python workers get whole texts in batches of so many rows: their memory is bounded by this, not by the partition."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def small_batches(spark: SparkSession, rows: int = 1000, size: str = "16m") -> None:
+    """Python workers get whole texts in batches of so many rows and bytes: their memory is bounded by this, not by the partition.
+
+    Settings that the caller has changed from Spark's defaults stay as they are.
+    """
+    for name, default, ours in (("maxRecordsPerBatch", "10000", str(rows)), ("maxBytesPerBatch", "67108864b", size)):
+        key = f"spark.sql.execution.arrow.{name}"
+        if spark.conf.get(key) == default:
+            spark.conf.set(key, ours)
 
 
 class Memo(dict):

@@ -179,11 +179,14 @@ def test_simhash_anchors_cover(spark):
     assert {(r.a, r.b) for r in got} == want and len(got) == len(want)
 
 
+def archive(spark, folder, rows):
+    spark.createDataFrame(rows, "page_id long, url string, html string, digest string, record_type int").write.parquet(str(folder / "pages.parquet"))
+    return warc.op6_warc(spark, str(folder)).collect()
+
+
 def test_warc(spark, tmp_path):
     html = ["<p>é</p>", None, "", "a\r\n\r\nWARC/1.1\r\nb", "<p>é</p>", "x" * 300_000, "", "same", "same", "same"]
-    pages = spark.createDataFrame([(i, f"http://e/{i}\n", h) for i, h in enumerate(html)], "page_id long, url string, html string")
-    pages.write.parquet(str(tmp_path / "pages.parquet"))
-    got = {r.page_id: r for r in warc.op6_warc(spark, str(tmp_path)).collect()}
+    got = {r.page_id: r for r in archive(spark, tmp_path, [(i, f"http://e/{i}\n", h, "d", 1) for i, h in enumerate(html)])}
     last = {h or "": i for i, h in enumerate(html)}
     assert len(got) == len(html)
     for i, h in enumerate(html):
@@ -193,6 +196,45 @@ def test_warc(spark, tmp_path):
         assert (got[i].record_type, got[i].refers_to) == (("response", None) if own else ("revisit", last[h or ""]))
 
 
+def test_warc_repeated_and_null_ids(spark, tmp_path):
+    rows = [(1, "u", "a")] * 3 + [(1, "v", "a"), (1, None, "b"), (None, "u", "b"), (None, "u", "c"), (None, "u", "c"), (7, "u", None), (7, "u", "")]
+    got = Counter((r.page_id, r.uri, r.payload_bytes, r.record_type, r.refers_to) for r in archive(spark, tmp_path, [(*r, None, None) for r in rows]))
+    assert got == Counter({
+        (1, "u", 1, "revisit", 1): 3, (1, "v", 1, "response", None): 1, (1, "", 1, "response", None): 1, (None, "u", 1, "revisit", 1): 1,
+        (None, "u", 1, "response", None): 1, (None, "u", 1, "revisit", None): 1, (7, "u", 0, "response", None): 1, (7, "u", 0, "revisit", 7): 1,
+    })
+
+
+def test_warc_empty_table(spark, tmp_path):
+    assert archive(spark, tmp_path, []) == []
+
+
+def test_warc_members_are_stepped_over():
+    import gzip
+    import io
+
+    made = [warc.record("response", f"<{k}>", "u", "D", 70_000, None, np.random.default_rng(k).bytes(70_000)) for k in range(3)] + [warc.record("revisit", "<9>", "u", "D", 5, "<0>", None)]
+    whole = b"".join(made)
+    assert gzip.decompress(whole).count(b"WARC/1.1\r\n") == 4
+
+    class Counted(io.BytesIO):
+        taken = 0
+
+        def read(self, n=-1):
+            out = super().read(n)
+            self.taken += len(out)
+            return out
+
+    f = Counted(whole)
+    assert [h["warc-record-id"] for h, _ in warc.records(f, {"record_type": {"revisit"}}, False)] == ["<9>"] and f.taken < 20_000
+    full = [(h["warc-record-id"], d) for h, d in warc.records(io.BytesIO(whole), {"record_type": {"response"}}, True)]
+    assert full == [(f"<{k}>", np.random.default_rng(k).bytes(70_000)) for k in range(3)]
+    for other in (gzip.decompress(whole), gzip.compress(gzip.decompress(whole))):
+        assert [(h["warc-record-id"], d) for h, d in warc.records(io.BytesIO(other), {"record_type": {"response"}}, True)] == full
+    with pytest.raises(ValueError):
+        list(warc.records(io.BytesIO(whole[: len(made[0]) - 5]), {}, True))
+
+
 def test_substrings(spark):
     rng = np.random.default_rng(5)
     word = lambda n: [f"w{x}" for x in rng.integers(0, 10**6, n)]
