@@ -360,3 +360,57 @@ def test_neighbours(spark):
     assert found / total >= 0.9 and {r.query_id for r in got} == {*range(0, 3000, 50)}
     few = neighbours.search(spark, spark.createDataFrame(rows[:3], "vec_id long, embedding array<float>")).collect()
     assert [r.vec_id for r in few if r.query_id == 0] and len(few) == 2
+
+
+def test_later_chains():
+    rng = np.random.default_rng(21)
+    for _ in range(300):
+        ranges = [(int(a), int(a) + int(n), int(k)) for a, n, k in zip(rng.integers(0, 60, 12), rng.integers(1, 25, 12), rng.integers(1, 4, 12))]
+        covered: set[int] = set()
+        want = [False] * 12
+        for i in sorted(range(12), key=lambda i: (-ranges[i][2], ranges[i][0] - ranges[i][1])):
+            words = set(range(*ranges[i][:2]))
+            want[i] = words <= covered
+            covered |= words
+        assert substrings.later(ranges) == want
+
+
+def test_substrings_recall(spark):
+    """Passages of 60 to 200 words in documents of 300 with one word in 20 or one in 10 changed: the words that repeat are found."""
+    rng = np.random.default_rng(22)
+    word = lambda n: [f"w{int(x)}" for x in rng.zipf(1.3, n) % 20_000]
+    texts, planted, doc = {}, {}, 0
+    for rate in (0.0, 0.05, 0.1):
+        for _ in range(40):
+            n = int(rng.integers(60, 200))
+            passage = word(n)
+            other = [f"x{int(rng.integers(10**6))}" if rng.random() < rate else w for w in passage]
+            texts[doc] = word(150) + passage + word(150)
+            texts[doc + 1] = word(120) + other + word(180)
+            planted[doc + 1] = (rate, doc, range(120, 120 + n))
+            doc += 2
+    got = defaultdict(set)
+    for r in substrings.passages(spark, documents_of(spark, texts)).collect():
+        got[r.doc_id, r.of_doc_id] |= set(range(r.first_word, r.first_word + r.n_words))
+    share = defaultdict(list)
+    for d, (rate, of, words) in planted.items():
+        share[rate].append(len(got[d, of] & set(words)) / len(words))
+    assert np.mean(share[0.0]) > 0.99 and np.mean(share[0.05]) > 0.95 and np.mean(share[0.1]) > 0.9, {k: np.mean(v) for k, v in share.items()}
+    extra = sum(len(v - (set(planted[d][2]) if d in planted and planted[d][1] == of else set())) for (d, of), v in got.items())
+    assert extra < 0.05 * sum(len(p[2]) for p in planted.values())
+
+
+def test_substrings_odd_rows(spark):
+    rng = np.random.default_rng(23)
+    word = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 10**6, n))
+    a, b, long = word(80), word(90), word(9000)
+    rows = [(1, a + " " + word(9)), (1, b + " tail"), (2, word(5) + " " + a), (2, word(5) + " " + a), (None, a), (3, b), (4, long), (5, long + " end"), (6, "same " * 300), (7, "same " * 200)]
+    docs = spark.createDataFrame([(i, t, "c", 1, True) for i, t in rows], "doc_id long, text string, cut_spans string, h int, late boolean")
+    got = {(r.doc_id, r.of_doc_id, r.n_words) for r in substrings.passages(spark, docs).collect()}
+    assert got == {(2, 1, 80), (3, 1, 90), (5, 4, 9000), (7, 6, 200)}
+    left = Counter(tuple(r)[:2] for r in substrings.remove(spark, docs).collect())
+    cut = [(i, t) for i, t in rows]
+    for i, t in ((2, " ".join(rows[2][1].split()[:5]) + " "), (3, rows[3][1].split()[:5])):
+        cut[i] = (2, t if isinstance(t, str) else " ".join(t) + " ")
+    cut[5], cut[7], cut[9] = (3, ""), (5, " end"), (7, " ")
+    assert left == Counter(cut) and substrings.remove(spark, docs).columns == docs.columns
