@@ -3,6 +3,7 @@
 import base64
 import binascii
 import hashlib
+import itertools
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -11,6 +12,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from lumenlake.llm import bpe, chat, licenses, media, neighbours, packing, simhash, substrings, toxicity, warc
@@ -97,17 +99,65 @@ def test_toxicity(spark, docs):
     assert right > 0.97 and sum(caught) / len(caught) > 0.85 and sum(wrong) / len(wrong) < 0.01
     odd = toxicity.score(docs, model)
     assert odd.count() == docs.count() and odd.where("score is null or score < 0 or score > 1").count() == 0
-    assert toxicity.score(docs, model, keep=True).columns[: len(docs.columns)] == docs.columns
+    assert toxicity.score(docs, toxicity.learn(docs, labels.limit(0))).count() == docs.count()
+    named = docs.withColumns({c: F.lit(1) for c in ("matched", "found", "row")})
+    kept = toxicity.clean(named, model)
+    assert kept.columns == named.columns and kept.count() == odd.where("score < 0.5").count()
+    assert toxicity.score(empty(docs), model).count() == 0
+    nameless = spark.createDataFrame([(None, "you idiot"), (None, None)], "doc_id long, text string")
+    assert [r.h for r in toxicity.score(nameless, model).select(toxicity.held_out(F.col("doc_id")).alias("h")).collect()] == [False, False]
+    twice = big.unionByName(big)
+    assert toxicity.training_texts(twice, labels).count() == toxicity.training_texts(big, labels).count() <= toxicity.MAX_TRAIN
     none = toxicity.learn(docs, labels.limit(0))
     assert toxicity.score(docs, none).where("score >= 0.5").count() == 0
 
 
+def types(text, lexicon={"widiot": 4.0}):  # noqa: B006
+    """The clause types that a text matches, and their weights. Types: 8 threat, 4 aimed, 2 negated, 1 reported."""
+    return {t: x for t, x in enumerate(toxicity.Grammar(lexicon).clauses(text)[: toxicity.TYPES]) if x}
+
+
 def test_toxicity_clauses():
-    g = toxicity.Grammar({"widiot": 4.0})
-    plain, aimed = g.clauses("idiot here")[:8], g.clauses("you idiot")[:8]
-    assert plain[0] == 4.0 and aimed[1] == 4.0
-    assert g.clauses("not an idiot")[2] == 4.0 and g.clauses("he said idiot")[5] == 4.0
-    assert g.clauses("not. idiot")[0] == 4.0 and sum(g.clauses(None)) == 0
+    assert types("idiot") == types("kill") == types(None) == types("") == types("You. Idiot!") == {}
+    assert types("some idiot here") == {0: 4.0} and types("you idiot") == types("idiot you") == types("she is an idiot") == {4: 4.0}
+    assert types("you are not an idiot") == {6: 4.0} and types("not. some idiot") == types("not far, some idiot") == {0: 4.0}
+    assert types("not one two three four five an idiot") == {0: 4.0} and types("not nice but an idiot") == {0: 4.0}
+    assert types("he said that you, well, you idiot") == {5: 4.0} and types('he is "an idiot" and a big idiot') == {5: 4.0, 4: 4.0}
+    assert types("he said so. you idiot") == {4: 4.0}
+    assert types("I will kill you") == {12: 2.0} and types("they kill time") == {} and types("you will burn") == {12: 2.0}
+    assert types("kill and hurt them") == {12: 4.0} and types("I never hurt you") == {14: 2.0} and types("hurt you, kill time") == {12: 2.0}
+    assert types("you idiot. I kill you, you idiot") == {4: 8.0, 12: 2.0}
+
+
+def test_toxicity_paths():
+    """The composed machine against an enumeration of all paths of the parts: one is accepted, and it has written the sums."""
+    rng = np.random.default_rng(4)
+    choice = [c for c in toxicity.CLASSES if c != toxicity.STOP]
+
+    def ends(states, at, classes, weights, sums):
+        if at == len(classes):
+            return [sums] if all(p.final(q) for p, q in zip(toxicity.PARTS, states)) else []
+        c, out = classes[at], []
+        if c == toxicity.PAUSE:
+            if not all(p.final(q) for p, q in zip(toxicity.PARTS, states)):
+                return []
+            return ends([p.after_pause(q) for p, q in zip(toxicity.PARTS, states)], at + 1, classes, weights, sums)
+        for arcs in itertools.product(*(p.arcs(q, c) for p, q in zip(toxicity.PARTS, states))):
+            then, aimed, scope, told = [x for x, _ in arcs], arcs[2][0] != "0", arcs[3][0] > 0, arcs[4][0] > 0
+            new = list(sums)
+            for _, kind in arcs:
+                if kind:
+                    new[8 * (kind == toxicity.THREAT) + 4 * aimed + 2 * scope + told] += weights[at]
+            out += ends(then, at + 1, classes, weights, new)
+        return out
+
+    for _ in range(400):
+        n = int(rng.integers(0, 9))
+        classes = [choice[k] for k in rng.integers(0, len(choice), n)]
+        weights = [float(w) if c in (toxicity.INSULT, toxicity.THREAT) else 0.0 for c, w in zip(classes, rng.integers(1, 9, n))]
+        paths = ends([p.start for p in toxicity.PARTS], 0, classes, weights, [0.0] * 16)
+        lone = toxicity.accepted(classes, weights)
+        assert paths in ([lone], []) and (paths or not any(lone)), classes
 
 
 def test_licenses(spark, docs, texts):

@@ -20,7 +20,7 @@ def test_near_duplicate_stage(spark):
 
 def test_whole_pipeline(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    scored = toxicity.score(docs, toxicity.learn(docs, spark.read.parquet(f"{SF}/labels.parquet")), keep=True).where("score < 0.5").select(*docs.columns)
+    scored = toxicity.clean(docs, toxicity.learn(docs, spark.read.parquet(f"{SF}/labels.parquet")))
     groups = simhash.near_duplicates(spark, scored).collect()
     rows = corpus_pipeline.run(spark, SF).collect()
     assert {r.doc_id for r in rows} == {r.doc_id for r in groups if r.doc_id == r.component_id}
