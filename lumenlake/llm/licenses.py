@@ -1,10 +1,11 @@
 """License scans by diagonal voting.
 
 All rolling word 2-gram hashes of all documents are joined to the positions of 2-grams in license templates; a match
-votes for the diagonal (its place in the document less its place in the template). Votes are summed by diagonal,
-neighbouring diagonals are merged (a word more or less moves the rest by one), and a span is accepted when
-its grams cover the template: wholly for the base phrases, by MIN_COVER for the longer notices. A second,
-independent hash of each gram is compared in the join, so that a span is verified word by word.
+votes for the diagonal (its place in the document less its place in the template). Votes are collected by diagonal, each template
+place once. Neighbouring diagonals, at most DRIFT apart in all, are merged (a word more or less moves the rest by one), and a span is verified when it
+has the votes that missing words leave: its matches are aligned with the template in order, and the words that align
+are counted. A base phrase needs all of its grams on one diagonal; a notice may miss one word in MISSING. A second,
+independent hash of each gram is compared in the join, so that matches are equal word by word.
 """
 
 from __future__ import annotations
@@ -30,7 +31,8 @@ NOTICES = {
     "this work is licensed under a creative commons attribution": "creative-commons",
     "this program is free software you can redistribute it and or modify it under the terms of the gnu": "gnu-gpl",
 }
-MIN_COVER = 0.8
+#: A notice of n words may miss n // MISSING of them.
+MISSING = 8
 DRIFT = 3
 
 #: A-Z to lower case; all other ASCII but digits and a-z to a space.
@@ -90,34 +92,52 @@ def templates(spark: SparkSession, base: dict[str, str], notices: dict[str, str]
     return spark.createDataFrame(rows, "template int, label string, base boolean, size int, at int, t_gram long, t_proof long")
 
 
+def aligned_words(pairs: list[tuple[int, int]]) -> int:
+    """Of matched 2-grams (place in the document, place in the template): the most template words that one chain, rising in both, covers."""
+    pairs = sorted(set(pairs))
+    best = []
+    for i, (pos, at) in enumerate(pairs):
+        words = 2
+        for j in range(i):
+            if pairs[j][0] < pos and pairs[j][1] < at:
+                words = max(words, best[j] + (1 if pairs[j][1] == at - 1 else 2))
+        best.append(words)
+    return max(best, default=0)
+
+
 def scan(spark: SparkSession, docs: DataFrame, base: dict[str, str] | None = None, notices: dict[str, str] | None = None) -> DataFrame:
     """Per row of docs: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
-    score: the best cover of a template. Null text: no words.
-    Rows with equal ids stay apart. An empty table gives no rows.
+    score: the largest share of a template's words that a verified span holds; 0 without one. Templates have two words or more. Null text: no
+    words. Rows with equal ids stay apart, null ids stay. An empty table gives no rows; other columns are not read.
     """
     small_batches(spark)
     t = F.broadcast(templates(spark, BASE if base is None else base, NOTICES if notices is None else notices))
     found = grams(docs).join(t, (F.col("gram") == F.col("t_gram")) & (F.col("proof") == F.col("t_proof")) & (F.col("pos") >= 0), "left").where("pos < 0 or template is not null")
     key = ["doc_id", "row"]
     votes = found.groupBy(*key, "template", "label", "base", "size", (F.col("pos") - F.col("at")).alias("diagonal")).agg(
-        F.count("*").alias("votes"), F.max(F.when(F.col("pos") < 0, F.col("gram"))).alias("n_words"), F.min("at").alias("low")
-    )
-    # neighbouring diagonals of a notice, within DRIFT of each other, are one span; a base phrase is its own
-    by = Window.partitionBy(*key, "template").orderBy("diagonal")
-    new = F.when(F.col("base") | (F.coalesce(F.col("diagonal") - F.lag("diagonal").over(by), F.lit(DRIFT + 1)) > DRIFT), 1).otherwise(0)
-    spans = votes.withColumn("new", new).withColumn("span", F.sum("new").over(by)).groupBy(*key, "template", "label", "base", "size", "span").agg(
-        F.max("n_words").alias("n_words"), F.sum("votes").alias("votes"), F.min("diagonal").alias("start")
+        F.max(F.when(F.col("pos") < 0, F.col("gram"))).alias("n_words"), F.collect_set("at").alias("places")  # at most a template's places
     )
-    cover = F.when(F.col("template").isNotNull(), F.least(F.lit(1.0), F.col("votes") / (F.col("size") - 1)))
-    spans = spans.withColumn("cover", cover).withColumn("ok", F.when(F.col("base"), F.col("cover") == 1.0).otherwise(F.col("cover") >= MIN_COVER))
+    ahead = Window.partitionBy(*key, "template").orderBy("diagonal").rangeBetween(0, DRIFT)
+    near = F.when(F.col("template").isNotNull(), F.flatten(F.collect_list(F.transform("places", lambda at: F.struct((F.col("diagonal") + at).alias("pos"), at.alias("at")))).over(ahead)))
+    spans = votes.withColumn("pairs", F.when(~F.col("base"), near))
+    missing = F.floor(F.col("size") / MISSING)
+    # runs of aligned words have two words or more, and a run of n has n - 1 votes
+    likely = 2 * F.size(F.array_distinct(F.transform("pairs", lambda p: p["at"]))) >= F.col("size") - missing
+
+    @F.pandas_udf("int")
+    def aligned(column: pd.Series) -> pd.Series:
+        return pd.Series([0 if pairs is None else aligned_words([(p["pos"], p["at"]) for p in pairs]) for pairs in column])
+
+    words = F.when(F.col("base"), F.when(F.size("places") == F.col("size") - 1, F.col("size")).otherwise(0)).otherwise(F.coalesce(aligned(F.when(likely, F.col("pairs"))), F.lit(0)))
+    spans = spans.withColumn("words", words).withColumn("ok", F.col("words") >= F.when(F.col("base"), F.col("size")).otherwise(F.col("size") - missing))
     is_base = F.col("ok") & F.col("base")
     joined = lambda c: F.array_join(F.array_sort(F.collect_set(F.when(c, F.col("label")))), ",")  # noqa: E731  at most as many as there are labels
     per_row = spans.groupBy(*key).agg(
         F.max("n_words").alias("n_words"), F.sum(is_base.cast("long")).alias("n_base"),
-        F.min(F.when(is_base, F.col("start"))).alias("first_word"), F.max(F.when(is_base, F.col("start"))).alias("last_word"),
+        F.min(F.when(is_base, F.col("diagonal"))).alias("first_word"), F.max(F.when(is_base, F.col("diagonal"))).alias("last_word"),
         joined(is_base).alias("base_labels"), joined(F.col("ok")).alias("labels"),
-        F.coalesce(F.max("cover"), F.lit(0.0)).alias("score"),
+        F.coalesce(F.max(F.when(F.col("ok"), F.col("words") / F.col("size"))), F.lit(0.0)).alias("score"),
     )
     return per_row.select("doc_id", "n_words", F.coalesce("n_base", F.lit(0)).cast("long").alias("n_base"), "first_word", "last_word", "base_labels", "labels", "score")
 

@@ -176,6 +176,47 @@ def test_licenses(spark, docs, texts):
     assert licenses.scan(spark, empty(docs)).count() == 0
 
 
+def brute_notices(words: list[str]) -> set[str]:
+    """Labels of the notices in a list of words: every set of equal word pairs within DRIFT diagonals, and every chain of them."""
+    out = set()
+    for phrase, label in licenses.NOTICES.items():
+        t = phrase.split()
+        pairs = [(i, k) for i in range(len(words) - 1) for k in range(len(t) - 1) if words[i : i + 2] == t[k : k + 2]]
+        for low in {i - k for i, k in pairs}:
+            near = [(i, k) for i, k in pairs if low <= i - k <= low + licenses.DRIFT]
+            longest: dict[int, set] = {}
+            best = 0
+            for i, k in sorted(near):
+                covered = max(([k, k + 1], *([*c, k, k + 1] for p, c in longest.items() if near[p][0] < i and near[p][1] < k)), key=lambda c: len(set(c)))
+                longest[near.index((i, k))] = covered
+                best = max(best, len(set(covered)))
+            if best >= len(t) - len(t) // licenses.MISSING:
+                out.add(label)
+    return out
+
+
+def test_license_notices(spark):
+    rng = np.random.default_rng(31)
+    texts = ["of the " * 60, "license cc by\n" * 30, "licensed under CC BY 4.0", "Licensed under CC-BY-NC.", "under the under the terms of the gnu of the gnu terms of the", " ".join(licenses.NOTICES), "free of charge to any person obtaining a copy"]
+    for phrase in licenses.NOTICES:
+        for edits in (0, 1, 2, 3):
+            words = ["word"] * int(rng.integers(0, 9)) + phrase.split() + ["rest"] * 3
+            for _ in range(edits):
+                at, kind = int(rng.integers(0, len(words))), int(rng.integers(0, 3))
+                words[at : at + (kind != 1)] = [] if kind == 0 else ["other"]
+            texts += [" ".join(words), " ".join(words * 2)]
+    texts += ["a b", "a b"]
+    rows = [(k if k % 7 else None, t, 1, "x", "y") for k, t in enumerate(texts)]
+    got = licenses.scan(spark, spark.createDataFrame(rows, "doc_id long, text string, row int, template string, label string")).collect()
+    want = Counter()
+    for doc, text, *_ in rows:
+        words = [w.decode() for w in licenses.words_of(text)]
+        base = {label for phrase, label in licenses.BASE.items() if any(words[i : i + len(phrase.split())] == phrase.split() for i in range(len(words)))}
+        want[doc, ",".join(sorted(base | brute_notices(words)))] += 1
+    assert Counter((r.doc_id, r.labels) for r in got) == want
+    assert all((r.score > 0) == (r.labels != "") for r in got) and sum(r.labels != "" for r in got) > 30
+
+
 def test_chat(spark):
     rows = [(1, 0, "u", "a"), (2, 0, "u", "a"), (2, 1, "v", "b"), (3, 0, "u", "a"), (3, 1, "v", "b"), (4, 0, None, None), (4, 1, "u", ""), (5, 0, "ua", ""), (6, 0, "u", "a"), (6, 1, "v", "c")]
     got = {r.conv_id: (r.n_turns, r.n_copies) for r in chat.collapse(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")).collect()}
