@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text
+from .operators import evaluation as evaluation_ops
 from .operators import metrics, rules, similarity, temporal
-from .plans import evaluation, training
+from .plans import evaluation, issues, training
 from .streaming import ledger
 
 
@@ -55,7 +56,7 @@ def cyclical_time(spark, d):
 
 def floor_days_between(spark, d):
     o, line = _t(spark, d, "orders").select("o_orderkey", "o_orderdate"), _t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate")
-    days = F.datediff("l_shipdate", "o_orderdate")
+    days = temporal.days_between(F.col("l_shipdate"), F.col("o_orderdate"))
     return line.join(o, line.l_orderkey == o.o_orderkey).select("l_orderkey", "l_linenumber", days.alias("days"), temporal.day_bucket(days).alias("bucket"))
 
 
@@ -81,7 +82,7 @@ def chrono_split(spark, d):
 
 
 def walk_forward_folds(spark, d):
-    f = temporal.walk_forward(_t(spark, d, "events"), "event_type", ["ts", "event_id"], 3, 0.15)
+    f = temporal.walk_forward(_t(spark, d, "events"), "event_type", ["ts", "event_id"], 3, 0.10)
     return f.groupBy("event_type", "fold", "part").agg(F.count("*").alias("n"), F.min("ts").alias("from_ts"), F.max("ts").alias("to_ts"))
 
 
@@ -110,8 +111,8 @@ def cosine_topk(spark, d):
 
 
 def similar_weighted_vote(spark, d):
-    e = _t(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "label", F.col("embedding").alias("v"), F.lit(1).alias("all"))
-    found = similarity.top_similar(e.where("id % 20 = 0"), e, "all", 20)
+    e = _t(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "label", F.col("embedding").alias("v"))
+    found = similarity.top_similar(e.where("id % 20 = 0"), e, None, 20)
     return found.join(e.select("id", "label"), "id").groupBy("q_id", "label").agg(F.round(F.sum("similarity"), 6).alias("vote"))
 
 
@@ -136,14 +137,14 @@ def facet_deciles(spark, d):
 
 
 def latency_percentiles(spark, d):
-    p = lambda q: F.round(F.expr(f"percentile_disc({q}) within group (order by value)"), 6)
-    return _t(spark, d, "events").groupBy("event_type").agg(p(0.5).alias("p50"), p(0.95).alias("p95"), p(0.99).alias("p99"))
+    places = {p: lambda n, q=q: F.greatest(F.ceil(n * F.lit(q)) - 1, F.lit(0)) for p, q in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99))}
+    return evaluation_ops.order_statistics(_t(spark, d, "events"), "value", "event_type", places).select("event_type", *[F.round(p, 6).alias(p) for p in places])
 
 
 def mae_vs_median(spark, d):
     o = _t(spark, d, "orders").select("o_orderpriority", F.col("o_totalprice").cast("double").alias("y"))
-    m = o.groupBy("o_orderpriority").agg(F.median("y").alias("m"))
-    return o.join(F.broadcast(m), "o_orderpriority").groupBy("o_orderpriority").agg(F.round(F.avg(F.abs(F.col("y") - F.col("m"))), 4).alias("mae"), F.round(F.max("m"), 4).alias("median"))
+    middle = evaluation_ops.order_statistics(o, "y", "o_orderpriority", {"a": lambda n: F.floor((n - 1) / 2), "b": lambda n: F.floor(n / 2)})
+    return o.join(middle.select("o_orderpriority", ((F.col("a") + F.col("b")) / 2).alias("m")), "o_orderpriority").groupBy("o_orderpriority").agg(F.round(F.avg(F.abs(F.col("y") - F.col("m"))), 4).alias("mae"), F.round(F.max("m"), 4).alias("median"))
 
 
 QUERIES = {
@@ -164,13 +165,13 @@ SQL = {
         regexp_matches(t, '(?i)https?://')::int AS has_link, regexp_matches(t, '(?i)!\[[^\]]*\]\(|<img\b')::int AS has_image, regexp_matches(t, '(?m)^#{1,4} |<!--')::int AS has_template FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)""",
     "keyword_hits": "SELECT conv_id, turn, " + " + ".join(f"contains(lower(coalesce(text, '')), '{w}')::int" for w in KEYWORDS) + " AS hits FROM conversations",
     "cyclical_time": "SELECT event_id, hour(ts)::int AS hour, (isodow(ts) - 1)::int AS weekday, round(sin(2 * pi() * hour(ts) / 24), 6) + 0.0::double AS hour_sin, round(cos(2 * pi() * hour(ts) / 24), 6) + 0.0::double AS hour_cos FROM events",
-    "floor_days_between": "SELECT l_orderkey, l_linenumber, days, CASE WHEN days <= 3 THEN 'days' WHEN days <= 21 THEN 'weeks' WHEN days <= 90 THEN 'months' ELSE 'longer' END AS bucket FROM (SELECT l_orderkey, l_linenumber, date_diff('day', o_orderdate::date, l_shipdate::date)::int AS days FROM lineitem JOIN orders ON l_orderkey = o_orderkey)",
+    "floor_days_between": "SELECT l_orderkey, l_linenumber, days, CASE WHEN days <= 3 THEN 'days' WHEN days <= 21 THEN 'weeks' WHEN days <= 90 THEN 'months' ELSE 'longer' END AS bucket FROM (SELECT l_orderkey, l_linenumber, floor((epoch_us(l_shipdate) - epoch_us(o_orderdate)) / 86400000000)::bigint AS days FROM lineitem JOIN orders ON l_orderkey = o_orderkey)",
     "first_event_per_user": "SELECT event_id, (row_number() OVER (PARTITION BY event_type, user_id ORDER BY ts, event_id) = 1)::int AS is_first FROM events",
     "asof_last_signup": "SELECT p.event_id, p.user_id, s.ts AS last_signup FROM (SELECT * FROM events WHERE event_type = 'purchase') p ASOF LEFT JOIN (SELECT DISTINCT user_id, ts FROM events WHERE event_type = 'signup') s ON p.user_id = s.user_id AND p.ts >= s.ts",
     "author_dimension_join": "SELECT o_orderkey, n_name FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey",
     "chrono_split": "SELECT event_id, event_type, CASE WHEN k <= least(greatest(round_even(n * 0.8::double, 0), 1), n - 1) THEN 'train' ELSE 'test' END AS part FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS k, count(*) OVER (PARTITION BY event_type) AS n FROM events)",
-    "walk_forward_folds": """SELECT event_type, fold, part, count(*) AS n, min(ts) AS from_ts, max(ts) AS to_ts FROM (SELECT event_type, fold, ts, CASE WHEN k <= n - size * (3 - fold) THEN 'train' WHEN k <= n - size * (3 - fold) + size THEN 'validation' END AS part
-        FROM (SELECT *, greatest(floor(n * 0.15::double), 1) AS size FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS k, count(*) OVER (PARTITION BY event_type) AS n FROM events)), (VALUES (0), (1), (2)) f(fold)) WHERE part IS NOT NULL GROUP BY 1, 2, 3""",
+    "walk_forward_folds": f"""SELECT event_type, fold, part, count(*) AS n, min(ts) AS from_ts, max(ts) AS to_ts FROM (SELECT event_type, fold, ts, CASE WHEN k <= round_even(n * lo, 0) THEN 'train' WHEN k <= round_even(n * hi, 0) THEN 'validation' END AS part
+        FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS k, count(*) OVER (PARTITION BY event_type) AS n FROM events), (VALUES {', '.join(f'({i}, {lo!r}::double, {hi!r}::double)' for i, (lo, hi) in enumerate(temporal.fold_bounds(3, 0.10)))}) f(fold, lo, hi)) WHERE part IS NOT NULL GROUP BY 1, 2, 3""",
     "binary_metrics_grouped": f"""WITH c AS (SELECT lang, count(*) FILTER (quality = 1 AND score >= 0.5) AS tp, count(*) FILTER (quality <> 1 AND score >= 0.5) AS fp, count(*) FILTER (quality = 1 AND score < 0.5) AS fn, count(*) FILTER (quality <> 1 AND score < 0.5) AS tn, avg((score - quality) ** 2) AS b FROM {_S} GROUP BY ROLLUP (lang)),
         r AS (SELECT *, CASE WHEN tp + fp = 0 THEN 0 ELSE tp / (tp + fp) END AS p, CASE WHEN tp + fn = 0 THEN 0 ELSE tp / (tp + fn) END AS q FROM c)
         SELECT lang, tp, fp, fn, tn, round(p, 6) AS precision, round(q, 6) AS recall, round(CASE WHEN p + q = 0 THEN 0 ELSE 2 * p * q / (p + q) END, 6) AS f1, round((tp + tn) / (tp + fp + fn + tn), 6) AS accuracy, round(b, 6) AS brier FROM r""",
@@ -179,12 +180,14 @@ SQL = {
     "balanced_weights": "SELECT quality, count(*) AS n, round(sum(count(*)) OVER () / (count(*) OVER () * count(*)), 6)::double AS weight FROM labels GROUP BY 1",
     "cosine_topk": f"SELECT q_id, id, similarity, rank::int AS rank FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY similarity DESC, id) AS rank FROM (SELECT q.vec_id AS q_id, r.vec_id AS id, {_DOT} AS similarity FROM embeddings q JOIN embeddings r ON q.label = r.label AND r.vec_id < q.vec_id WHERE q.vec_id % 20 = 0)) WHERE rank <= 3",
     "similar_weighted_vote": f"SELECT q_id, label, round(sum(similarity), 6) AS vote FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY similarity DESC, id) AS rank FROM (SELECT q.vec_id AS q_id, r.vec_id AS id, r.label, {_DOT} AS similarity FROM embeddings q JOIN embeddings r ON r.vec_id < q.vec_id WHERE q.vec_id % 20 = 0)) WHERE rank <= 20 GROUP BY 1, 2",
-    "ledger_grade": "WITH l AS (SELECT user_id AS key, ts AS at, event_type AS kind, max(value) AS value FROM events WHERE event_type IN ('view', 'purchase') GROUP BY 1, 2, 3) SELECT o.key, o.at, p.value AS score, o.value AS outcome FROM (SELECT * FROM l WHERE kind = 'purchase') o ASOF JOIN (SELECT * FROM l WHERE kind = 'view') p ON o.key = p.key AND o.at >= p.at",
+    "ledger_grade": """WITH l AS (SELECT user_id AS key, ts AS "at", event_type = 'purchase' AS o, max(value) AS value FROM events WHERE event_type IN ('view', 'purchase') GROUP BY 1, 2, 3),
+        r AS (SELECT *, count(*) FILTER (o) OVER (PARTITION BY key ORDER BY "at", o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS round FROM l)
+        SELECT key, max("at") FILTER (o) AS "at", arg_max(value, "at") FILTER (NOT o) AS score, max(value) FILTER (o) AS outcome FROM r GROUP BY key, round HAVING bool_or(o) AND bool_or(NOT o)""",
     "facet_daily": "SELECT ts::date AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2",
     "facet_deciles": f"SELECT bin, coalesce(n, 0) AS n FROM (SELECT range::int AS bin FROM range(10)) LEFT JOIN (SELECT least(9, floor(score * 10))::int AS bin, count(*) AS n FROM {_S} GROUP BY 1) USING (bin)",
     "latency_percentiles": "SELECT event_type, round(quantile_disc(value, 0.5), 6) AS p50, round(quantile_disc(value, 0.95), 6) AS p95, round(quantile_disc(value, 0.99), 6) AS p99 FROM events GROUP BY 1",
     "mae_vs_median": "SELECT o_orderpriority, round(avg(abs(y - m)), 4) AS mae, round(max(m), 4) AS median FROM (SELECT o_orderpriority, o_totalprice::double AS y, median(o_totalprice::double) OVER (PARTITION BY o_orderpriority) AS m FROM orders) GROUP BY 1",
 }
 
-QUERIES |= evaluation.QUERIES | training.QUERIES
-SQL |= evaluation.SQL
+QUERIES |= evaluation.QUERIES | issues.QUERIES | training.QUERIES
+SQL |= evaluation.SQL | issues.SQL

@@ -5,9 +5,13 @@ All of it works on counts per distinct score or class, so nothing but a histogra
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .temporal import ranked
+
 #: Thresholds 0.10, 0.12 .. 0.90.
 GRID = [round(0.10 + 0.02 * k, 2) for k in range(41)]
 
@@ -71,12 +75,27 @@ def spearman(df: DataFrame, x: str, y: str, group: str) -> DataFrame:
     return s.select(group, F.coalesce(r, F.lit(0.0)).alias("spearman"))
 
 
+def order_statistics(df: DataFrame, value: str, group: str, places: dict[str, Callable[[Column], Column]]) -> DataFrame:
+    """group and, for each name, the value at place places[name](n) (from 0) of the group's sorted values; nulls do not count.
+
+    Rows are first counted in about a hundred ranges between approximate quantiles of the group; only the ranges
+    that hold a wanted place are then sorted, so the result is exact and no task sorts a whole group.
+    """
+    rows = df.where(F.col(value).isNotNull()).select(F.col(group).alias("g"), F.col(value).alias("v"))
+    edges = rows.groupBy("g").agg(F.percentile_approx("v", [k / 100 for k in range(1, 100)], 1000).alias("edges"), F.count("*").alias("n"))
+    ranged = rows.join(edges.withColumnRenamed("g", "_g"), F.col("g").eqNullSafe(F.col("_g"))).select("g", "v", "n", F.size(F.filter("edges", lambda e: e < F.col("v"))).alias("range"))
+    counts = ranged.groupBy("g", "n", "range").agg(F.count("*").alias("c")).withColumn("before", F.sum("c").over(Window.partitionBy("g").orderBy("range")) - F.col("c"))
+    wanted = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), at(F.col("n")).cast("long").alias("place")) for name, at in places.items()]))
+    wanted = counts.select("g", "range", "before", "c", wanted.alias("w")).where("w.place >= before and w.place < before + c").select(F.col("g").alias("_g"), F.col("range").alias("_range"), "before", "w.name", "w.place")
+    near = ranged.join(wanted, F.col("g").eqNullSafe(F.col("_g")) & (F.col("range") == F.col("_range"))).groupBy("g", "range", "name", "place", "before", "v").agg(F.count("*").alias("c"))
+    upto = F.col("before") + F.sum("c").over(Window.partitionBy("g", "range", "name").orderBy("v"))
+    found = near.withColumn("upto", upto).where("upto > place").groupBy("g").agg(*[F.min(F.when(F.col("name") == name, F.col("v"))).alias(name) for name in places])
+    return found.withColumnRenamed("g", group)
+
+
 def nearest_rank(df: DataFrame, value: str, group: str, shares: dict[str, float]) -> DataFrame:
-    """group and, for each name, the value at place min(n - 1, floor(n * share)) of the sorted ones: from running counts per distinct value."""
-    per = df.where(F.col(value).isNotNull()).groupBy(group, F.col(value).alias("v")).agg(F.count("*").alias("n"))
-    per = per.withColumns({"upto": F.sum("n").over(Window.partitionBy(group).orderBy("v")), "all": F.sum("n").over(Window.partitionBy(group))})
-    at = lambda q: F.least(F.col("all") - 1, F.floor(F.col("all") * F.lit(q)))
-    return per.groupBy(group).agg(*[F.min(F.when(F.col("upto") > at(q), F.col("v"))).alias(name) for name, q in shares.items()])
+    """group and, for each name, the value at place min(n - 1, floor(n * share)) of the sorted ones."""
+    return order_statistics(df, value, group, {name: lambda n, q=q: F.least(n - 1, F.floor(n * F.lit(q))) for name, q in shares.items()})
 
 
 def prior_counts(df: DataFrame, keys: list[str], order: list[str], out: str = "prior") -> DataFrame:
@@ -84,6 +103,28 @@ def prior_counts(df: DataFrame, keys: list[str], order: list[str], out: str = "p
     return df.withColumn(out, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long") - 1)
 
 
+def running_leaderboard(df: DataFrame, group: str, item: str, order: list[str], ks: tuple[int, ...] = (1, 3, 5)) -> DataFrame:
+    """group, n, hit_k over the rows with test = 1: how often the row's item is among the k most frequent of all earlier rows of its group.
+
+    The leaderboard runs along with the rows: only rows before the current one count. Ties go to the smaller item. Rates are rounded to 4 places
+    by group; the row with null group weights these by n. Of the other items, those that were ahead by count are
+    the rows with the same number of earlier occurrences, so a place in that list counts them; ties are looked up for rows near the top alone.
+    """
+    rows = ranked(df, group, order, "_at", "_all")
+    by = Window.partitionBy(group, item).orderBy("_at")
+    rows = rows.select(group, item, "test", "_at", (F.row_number().over(by) - 1).alias("_prior"), F.lead("_at").over(by).alias("_next"))
+    rows = rows.withColumn("_more", F.row_number().over(Window.partitionBy(group, "_prior").orderBy("_at")) - 1)
+    asked = rows.where("test = 1")
+    near = asked.where((F.col("_prior") > 0) & (F.col("_more") < max(ks)))
+    tied = rows.select(F.col(group).alias("_g"), F.col(item).alias("_item"), (F.col("_prior") + 1).alias("_count"), F.col("_at").alias("_since"), F.col("_next").alias("_until"))
+    same = near.join(tied, (F.col(group) == F.col("_g")) & (F.col("_prior") == F.col("_count")) & (F.col("_since") < F.col("_at")) & (F.coalesce("_until", F.col("_at")) >= F.col("_at")) & (F.col("_item") < F.col(item)), "left")
+    ranks = same.groupBy(group, "_at", "_more").agg((F.count("_item") + F.col("_more") + 1).alias("rank")).select(group, "rank")
+    hits = ranks.groupBy(group).agg(*[F.count_if(F.col("rank") <= k).alias(f"_h{k}") for k in ks])
+    rates = asked.groupBy(group).agg(F.count("*").alias("n")).join(hits, group, "left").select(group, "n", *[F.round(F.coalesce(f"_h{k}", F.lit(0)) / F.col("n"), 4).alias(f"hit_{k}") for k in ks])
+    total = rates.agg(F.sum("n").alias("n"), *[F.round(F.sum(F.col(f"hit_{k}") * F.col("n")) / F.sum("n"), 4).alias(f"hit_{k}") for k in ks])
+    return rates.unionByName(total.withColumn(group, F.lit(None).cast(df.schema[group].dataType)))
+
+
 def hit_rates(train: DataFrame, test: DataFrame, group: str, item: str, ks: tuple[int, ...] = (1, 3, 5)) -> DataFrame:
     """group, n, hit_k: how often a test row's item is among the k most frequent of its group in train. Ties go to the smaller item.
 

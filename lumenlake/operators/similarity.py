@@ -18,12 +18,29 @@ def normed(v: Column) -> Column:
     return F.when(length > 0, F.transform(v, lambda x: x.cast("double") / length))
 
 
-def top_similar(queries: DataFrame, rows: DataFrame, group: str, k: int) -> DataFrame:
-    """q_id, id, similarity, rank among earlier rows (smaller id) of the same group. Columns: id, group, v."""
-    q = queries.select(F.col("id").alias("q_id"), group, normed(F.col("v")).alias("q_v"))
-    if queries.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST:
-        q = F.broadcast(q)
-    r = rows.select("id", group, normed(F.col("v")).alias("r_v"))
-    pairs = r.join(q, group).where("id < q_id").select("q_id", "id", group, F.round(dot(F.col("q_v"), F.col("r_v")), 6).alias("similarity"))
-    rank = F.row_number().over(Window.partitionBy("q_id").orderBy(F.desc("similarity"), "id"))
-    return pairs.withColumn("rank", rank).where(F.col("rank") <= k)
+def top_similar(queries: DataFrame, rows: DataFrame, group: str | None, k: int, floor: float | None = None) -> DataFrame:
+    """q_id, id, similarity, rank among earlier rows (smaller id), of the same group if one is named, and of similarity `floor` or more. Columns: id, group, v.
+
+    A query set of at most MAX_BROADCAST rows is broadcast. A larger one meets the rows in blocks of both, so that neither
+    a group nor a query gathers in one task; the best k of each block are ranked again.
+    """
+    named = [group] if group else []
+    q = queries.select(F.col("id").alias("q_id"), *named, normed(F.col("v")).alias("q_v"))
+    r = rows.select("id", *named, normed(F.col("v")).alias("r_v"))
+    n = queries.count()
+    if n <= MAX_BROADCAST:
+        met = r.join(F.broadcast(q), (r["id"] < q["q_id"]) & (r[group].eqNullSafe(q[group]) if group else F.lit(True)))
+        met = met.drop(q[group]) if group else met
+    else:
+        blocks = -(-n // MAX_BROADCAST)
+        block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks))
+        each = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+        q = q.withColumn("_q", block("q_id")).withColumn("_r", each)
+        r = r.withColumn("_r", block("id")).withColumn("_q", each)
+        met = r.join(q, [*named, "_q", "_r"]).where("id < q_id")
+    pairs = met.select("q_id", "id", *named, F.round(dot(F.col("q_v"), F.col("r_v")), 6).alias("similarity"))
+    if floor is not None:
+        pairs = pairs.where(F.col("similarity") >= floor)
+    best = lambda *keys: F.row_number().over(Window.partitionBy("q_id", *keys).orderBy(F.desc("similarity"), "id"))
+    pairs = pairs.withColumn("_part", F.pmod(F.xxhash64("id"), F.lit(64))).withColumn("rank", best("_part")).where(F.col("rank") <= k).drop("_part")
+    return pairs.withColumn("rank", best()).where(F.col("rank") <= k)

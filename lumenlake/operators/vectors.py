@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -13,6 +13,20 @@ def terms(df: DataFrame, key: str, text: str) -> DataFrame:
     return words.select(key, F.explode(F.concat("w", pairs)).alias("term"))
 
 
+def char_terms(df: DataFrame, key: str, text: str, low: int = 3, high: int = 5) -> DataFrame:
+    """key, term: substrings of low to high letters of each lower-case word with a space on both sides; a padded word that is no longer than n is its own last term."""
+    padded = F.transform(F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"\s+"), lambda w: w != ""), lambda w: F.concat(F.lit(" "), w, F.lit(" ")))
+    words = df.select(key, F.explode(padded).alias("w"))
+
+    def grams(n: int) -> Column:
+        longer = F.length("w") > n
+        cut = F.transform(F.sequence(F.lit(1), F.greatest(F.length("w") - n + 1, F.lit(1))), lambda i: F.substr(F.col("w"), i, F.lit(n)))
+        first = (F.length("w") == n) if n > low else (F.length("w") <= n)
+        return F.when(longer, cut).when(first, F.array("w")).otherwise(F.array().cast("array<string>"))
+
+    return words.select(key, F.explode(F.concat(*map(grams, range(low, high + 1)))).alias("term"))
+
+
 def tf_idf(df: DataFrame, key: str, text: str, min_df: int = 2, max_terms: int = 20_000) -> DataFrame:
     """key, term, weight. The vocabulary is the max_terms most frequent terms that min_df or more rows hold (ties: the smaller term); as it is bounded, it is broadcast.
 

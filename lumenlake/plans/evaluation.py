@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import labels
@@ -94,8 +94,8 @@ def scan_windows(spark, d):
 
 
 def half_split(spark, d):
-    k, n = F.row_number().over(Window.partitionBy("lang").orderBy("doc_id")), F.count("*").over(Window.partitionBy("lang"))
-    return _scored(spark, d).select("doc_id", F.when(k <= F.floor(n / 2), "tune").otherwise("verify").alias("half"))
+    rows = temporal.ranked(_scored(spark, d), "lang", ["doc_id"])
+    return rows.select("doc_id", F.when(F.col("_k") <= F.floor(F.col("_n") / 2), "tune").otherwise("verify").alias("half"))
 
 
 def csv_round_trip(spark, d):

@@ -18,7 +18,7 @@ def _frame(spark: SparkSession, d: str) -> DataFrame:
 
 
 def model_selection(spark, d):
-    folds = temporal.walk_forward(_frame(spark, d), "all", ["doc_id"], 3, 0.15).cache()
+    folds = temporal.walk_forward(_frame(spark, d), "all", ["doc_id"], 3, 0.10).cache()
     return models.select_by_folds(folds, COLUMNS, "quality")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -11,8 +12,12 @@ from pyspark.sql.types import ArrayType, MapType, StructType
 
 
 def shared_path(spark: SparkSession, tag: str) -> str:
-    """A new path under spark.checkpoint.dir; a folder of our own only where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='lumenlake-')}"
+    """A new path under spark.checkpoint.dir. Only a session on one machine that names none gets a temporary folder."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = f"file://{tempfile.mkdtemp(prefix='lumenlake-')}"
     return f"{root.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
 
 

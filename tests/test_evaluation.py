@@ -4,9 +4,10 @@ import numpy as np
 import pytest
 
 from lumenlake.functions import labels
-from lumenlake.operators import evaluation, models, temporal
+from lumenlake.operators import evaluation, models, rules, similarity, temporal
 from lumenlake.plans import training
 from lumenlake.sources import files
+from lumenlake.streaming import ledger
 from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
@@ -77,3 +78,56 @@ def test_models(spark):
     rows = training.calibrated_scores(spark, "/root/testdata/sf0.01").collect()
     assert rows and all(0 <= r.calibrated <= 1 for r in rows)
     assert training.effort_regression(spark, SF).first().spearman > 0.3
+
+
+def test_walk_forward_rounds_its_bounds(spark):
+    df = spark.range(1, 16).select(F.lit("g").alias("g"), F.col("id"))
+    got = {(r.fold, r.part): (r.a, r.b) for r in temporal.walk_forward(df, "g", ["id"], 3, 0.1).groupBy("fold", "part").agg(F.min("id").alias("a"), F.max("id").alias("b")).collect()}
+    assert got[0, "train"] == (1, 11) and got[0, "validation"] == (12, 12)
+    for n, fraction, train in ((10, 0.2, 8), (10, 0.15, 8), (2, 0.2, 1), (1, 0.2, 1)):
+        assert temporal.chronological_split(df.limit(n), "g", ["id"], fraction).where("part = 'train'").count() == train
+
+
+def test_ranks_keep_null_groups_and_keys(spark):
+    rows = [(None, 5), (None, None), (None, 70_000), ("a", 200_000), ("a", 1)]
+    got = {(r.g, r.k): (r["_k"], r["_n"]) for r in temporal.ranked(spark.createDataFrame(rows, "g string, k long"), "g", ["k"]).collect()}
+    assert got == {(None, None): (1, 3), (None, 5): (2, 3), (None, 70_000): (3, 3), ("a", 1): (1, 2), ("a", 200_000): (2, 2)}
+
+
+def test_elapsed_days(spark):
+    rows = [("2024-03-04 00:30:00", "2024-03-03 23:30:00", 0), ("2024-03-03 23:30:00", "2024-03-04 00:30:00", -1), ("2024-03-04 15:00:00", "2024-02-01 00:00:00", 32), ("2024-03-04 15:00:00", "2020-03-04 00:00:00", 1461)]
+    df = spark.createDataFrame(rows, "a string, b string, want int")
+    assert df.where(temporal.days_between(F.col("a").cast("timestamp"), F.col("b").cast("timestamp")) != F.col("want")).count() == 0
+
+
+def test_an_outcome_uses_its_prediction_up(spark):
+    kinds = ["prediction", "outcome", "outcome", "prediction", "prediction", "outcome"]
+    df = spark.createDataFrame([(1, k, kind, float(k)) for k, kind in enumerate(kinds)] + [(2, 0, "outcome", 9.0), (3, 0, "prediction", 9.0)], "key long, at int, kind string, value double")
+    df = df.withColumn("at", F.timestamp_seconds("at"))
+    assert sorted((r.key, r.score, r.outcome) for r in ledger.grade(df).collect()) == [(1, 0.0, 1.0), (1, 4.0, 5.0)]
+    assert {r.key: tuple(r)[1:] for r in ledger.open_counts(df).collect()} == {1: (3, 2, 1, 0), 2: (0, 0, 1, 0), 3: (1, 0, 0, 1)}
+
+
+def test_issue_rules(spark):
+    base = {"author": "alice", "locked": False, "labels": [], "state_reason": None, "merged_link": False, "references": [], "number": 1}
+    words = "Fix Fixes Fixed Close Closes Closed Resolve Resolves Resolved fix fixes fixed CLOSES RESOLVED".split()
+    cases = [
+        ({"author": None}, "drop_no_author"), ({"author": ""}, "drop_no_author"), ({"author": "dependabot[bot]", "merged_link": True}, "drop_bot"), ({"locked": True, "merged_link": True}, "R1_merged_pr_link"), ({"labels": ["question"], "merged_link": True}, "drop_question"),
+        ({"number": 42, "references": [(False, "Fixes #42")]}, "R4_default_non_actionable"), ({"number": 123, "references": [(True, "Fixes #1234")]}, "R4_default_non_actionable"), ({"number": 42, "references": [(True, "prefixes #42")]}, "R4_default_non_actionable"),
+        ({"labels": ["Bug "], "state_reason": "COMPLETED"}, "R2_bug_label_completed"), ({"labels": ["bug"]}, "R4_default_non_actionable"), ({"state_reason": "NOT_PLANNED"}, "R3b_state_not_planned"), ({}, "R4_default_non_actionable"),
+        *[({"labels": [None, x]}, "R3_non_actionable_label") for x in ("duplicate", "invalid", "wontfix", "stale", "not-a-bug")], *[({"number": 42, "references": [(True, f"{w} #42")]}, "R1b_merged_pr_textual_reference") for w in words],
+    ]
+    rows = [(k, *{**base, **over}.values(), rule) for k, (over, rule) in enumerate(cases)]
+    df = spark.createDataFrame(rows, "k int, author string, locked boolean, labels array<string>, state_reason string, merged_link boolean, references array<struct<merged: boolean, body: string>>, number long, want string")
+    found = labels.issue_rules(*[F.col(c) for c in base])
+    assert df.where(rules.first_rule(found[:-1], found[-1][0]) != F.col("want")).select("k").collect() == []
+    locked = labels.issue_rules(*[F.col(c) for c in base], drop_locked=True)
+    assert df.where("k = 3").select(rules.first_rule(locked[:-1], locked[-1][0])).first()[0] == "drop_locked"
+
+
+def test_large_query_sets_meet_rows_in_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    df = spark.createDataFrame([(i, i % 3, [float(x) for x in rng.normal(size=4)]) for i in range(60)], "id long, g int, v array<double>")
+    small = sorted(map(tuple, similarity.top_similar(df, df, "g", 3, 0.1).select("q_id", "id", "similarity", "rank").collect()))
+    monkeypatch.setattr(similarity, "MAX_BROADCAST", 7)
+    assert sorted(map(tuple, similarity.top_similar(df, df, "g", 3, 0.1).select("q_id", "id", "similarity", "rank").collect())) == small
