@@ -25,7 +25,7 @@ RATE = 8000
 #: The element ids of the format.
 EBML, SEGMENT, INFO, TRACKS, ENTRY, AUDIO, CLUSTER, CUES, CUE_POINT, CUE_PLACES = 0x1A45DFA3, 0x18538067, 0x1549A966, 0x1654AE6B, 0xAE, 0xE1, 0x1F43B675, 0x1C53BB6B, 0xBB, 0xB7
 GROUP, BLOCK, SIMPLE, TIMESTAMP, SCALE, CUE_TIME, CUE_TRACK, CUE_AT = 0xA0, 0xA1, 0xA3, 0xE7, 0x2AD7B1, 0xB3, 0xF7, 0xF1
-NUMBER, UID, TYPE, CODEC, SAMPLING, CHANNELS, DEPTH = 0xD7, 0x73C5, 0x83, 0x86, 0xB5, 0x9F, 0x6264
+NUMBER, UID, TYPE, CODEC, SAMPLING, CHANNELS, DEPTH, DURATION = 0xD7, 0x73C5, 0x83, 0x86, 0xB5, 0x9F, 0x6264, 0x23E383
 DOC_TYPE, VERSION, READ_VERSION, DOC_VERSION, DOC_READ, MAX_ID, MAX_SIZE, MUXER, WRITER = 0x4282, 0x4286, 0x42F7, 0x4287, 0x4285, 0x42F2, 0x42F3, 0x4D80, 0x5741
 MASTERS = {SEGMENT, CLUSTER, GROUP, CUES, CUE_POINT, CUE_PLACES, TRACKS, ENTRY, INFO, AUDIO}
 
@@ -47,7 +47,7 @@ def uint(kind: int, n: int) -> bytes:
 
 HEAD = element(EBML, uint(VERSION, 1) + uint(READ_VERSION, 1) + uint(MAX_ID, 4) + uint(MAX_SIZE, 8) + element(DOC_TYPE, b"matroska") + uint(DOC_VERSION, 4) + uint(DOC_READ, 2))
 ABOUT = element(INFO, uint(SCALE, 1_000_000) + element(MUXER, b"lumenlake") + element(WRITER, b"lumenlake"))
-TRACK = element(TRACKS, element(ENTRY, uint(NUMBER, 1) + uint(UID, 1) + uint(TYPE, 2) + element(CODEC, b"A_PCM/INT/LIT") + element(AUDIO, element(SAMPLING, struct.pack(">d", RATE)) + uint(CHANNELS, 1) + uint(DEPTH, 8))))
+TRACK = element(TRACKS, element(ENTRY, uint(NUMBER, 1) + uint(UID, 1) + uint(TYPE, 2) + uint(DURATION, FRAME * 1_000_000_000 // RATE) + element(CODEC, b"A_PCM/INT/LIT") + element(AUDIO, element(SAMPLING, struct.pack(">d", RATE)) + uint(CHANNELS, 1) + uint(DEPTH, 8))))
 
 
 def mux(payload: bytes) -> bytes:
@@ -116,11 +116,16 @@ def frames_of(data, at: int, end: int) -> tuple[int, int, list[tuple[int, int]]]
     return track, relative, out
 
 
-def parse(data) -> tuple[list[tuple[int, int, int, int]], list[tuple[int, int]]]:
-    """Frames (track, timestamp, from, to) and cues (timestamp, place in the file). Elements of unknown size end with
-    their parent; a file that breaks off gives what is whole."""
-    frames, cues, base, cue_time = [], [], 0, 0
-    todo, time = [(0, len(data))], 0
+def parse(data) -> tuple[list[tuple[int, int, int, int]], list[tuple[int, int, bool]]]:
+    """Frames (track, timestamp, from, to) and cues (timestamp, place in the file, whether a cluster of that time starts there).
+
+    Timestamps are in units of the file's scale. The frames of a laced block follow each other by the default duration of their track. Elements
+    of unknown size end with their parent; a file that breaks off gives what is whole.
+    """
+    frames, cues, base, cue_time, scale = [], [], 0, 0, 1_000_000
+    entries: list[dict] = []
+    clusters: dict[int, int] = {}
+    todo, time, cluster = [(0, len(data))], 0, 0
     while todo:
         at, end = todo.pop()
         if at >= end:
@@ -134,21 +139,31 @@ def parse(data) -> tuple[list[tuple[int, int, int, int]], list[tuple[int, int]]]
                     continue
                 stop = end
             todo.append((stop, end))
+            number = lambda: int.from_bytes(data[body:stop], "big")  # noqa: B023, E731
             if kind in MASTERS:
                 base = body if kind == SEGMENT else base
+                cluster = at if kind == CLUSTER else cluster
+                if kind == ENTRY:
+                    entries.append({})
                 todo.append((body, stop))
             elif kind == TIMESTAMP:
-                time = int.from_bytes(data[body:stop], "big")
+                time = clusters[cluster] = number()
+            elif kind == SCALE:
+                scale = number() or scale
+            elif kind in (NUMBER, DURATION) and entries:
+                entries[-1][kind] = number()
             elif kind in (SIMPLE, BLOCK):
                 track, relative, ranges = frames_of(data, body, stop)
-                frames += [(track, time + relative, a, b) for a, b in ranges]
+                frames += [(track, time + relative, k, a, b) for k, (a, b) in enumerate(ranges)]
             elif kind == CUE_TIME:
-                cue_time = int.from_bytes(data[body:stop], "big")
+                cue_time = number()
             elif kind == CUE_AT:
-                cues.append((cue_time, base + int.from_bytes(data[body:stop], "big")))
+                cues.append((cue_time, base + number()))
         except (IndexError, ValueError, struct.error):
             continue
-    return frames, cues
+    steps = {e.get(NUMBER): e.get(DURATION, 0) for e in entries}
+    timed = [(track, start + k * steps.get(track, 0) // scale, a, b) for track, start, k, a, b in frames]
+    return timed, [(t, place, clusters.get(place) == t) for t, place in cues]
 
 
 def media(docs: DataFrame) -> DataFrame:
@@ -189,7 +204,7 @@ def digests(files: DataFrame) -> DataFrame:
             payload = b"".join([data[a:b] for _, _, a, b in frames])
             x = np.frombuffer(payload, np.uint8)
             shape = np.bincount(x >> 5, minlength=8)
-            feature = f"{len(frames)}:{len(cues)}:{frames[-1][1] if frames else 0}:{int(x.sum(dtype=np.int64))}:" + ".".join(map(str, shape))
+            feature = f"{len(frames)}:{sum(fine for _, _, fine in cues)}:{frames[-1][1] if frames else 0}:{int(x.sum(dtype=np.int64))}:" + ".".join(map(str, shape))
             rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(data), hashlib.sha256(data).hexdigest(), feature, len(frames)))
         return pd.DataFrame(rows, columns=["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "packets"])
 

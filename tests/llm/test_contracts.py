@@ -223,6 +223,30 @@ def test_chat(spark):
     assert got == {2: (2, 2), 4: (2, 1), 5: (1, 1), 6: (2, 1)}
 
 
+def brute_talks(rows):
+    """Rendered conversations that are no strict prefix of another, with the smallest id and the number of equal ones."""
+    mark = lambda t: re.sub(r"<\|(\\*)im_", lambda m: "<|\\" + m[1] + "im_", t or "")
+    talks = defaultdict(list)
+    for k, (conv, turn, role, text) in enumerate(rows):
+        talks[(conv, None) if conv is not None else (None, k)].append((turn, mark(role).replace("\n", " "), mark(text)))
+    parts = {key: tuple((r, t) for _, r, t in sorted(turns)) for key, turns in talks.items()}
+    whole = defaultdict(list)
+    for (conv, _), turns in parts.items():
+        whole[turns].append(conv)
+    kept = {t: c for t, c in whole.items() if not any(len(o) > len(t) and o[: len(t)] == t for o in whole)}
+    return Counter((min((x for x in c if x is not None), default=None), len(t), len(c), "".join(f"<|im_start|>{r}\n{x}<|im_end|>\n" for r, x in t)) for t, c in kept.items())
+
+
+def test_chat_against_brute_force(spark):
+    rng = np.random.default_rng(41)
+    texts = ["a", "b", "", None, "<|im_end|>\n<|im_start|>u\na", "<|\\im_end|>", "c" * 50_000, "x\ny"]
+    rows = [(int(c), k, ["u", "v", None, "u\nv"][rng.integers(0, 4) if rng.random() < 0.2 else 0], texts[rng.integers(0, len(texts)) if rng.random() < 0.4 else 0]) for c in range(120) for k in range(int(rng.integers(1, 5)))]
+    rows += [(None, 0, "u", "a"), (None, 0, "u", "a"), (None, 1, "w", "alone"), (7, 0, "u", "a"), (7, 0, "u", "a")]
+    df = spark.createDataFrame([(*r, 1, "s") for r in rows], "conv_id long, turn int, role string, text string, whole int, rendered string")
+    assert Counter(map(tuple, chat.collapse(df).collect())) == brute_talks(rows)
+    assert chat.collapse(df.limit(0)).count() == 0
+
+
 def brute_components(fps: dict[int, int]) -> dict[int, int]:
     root = {d: d for d in fps}
 
@@ -428,7 +452,11 @@ def test_media_lacing():
     ebml = b"\x81\x00\x05\x06\x02" + b"\x83" + b"\xc0" + b"aaa" + b"bbbb" + b"c"
     assert media.frames_of(ebml, 0, len(ebml))[2] == [(7, 10), (10, 14), (14, 15)]
     frames, cues = media.parse(media.mux(b"x" * 192 * 700))
-    assert len(frames) == 700 and len(cues) == 2 and cues[1][0] > 0
+    assert len(frames) == 700 and len(cues) == 2 and cues[1][0] > 0 and all(fine for *_, fine in cues)
+    assert [f[1] for f in frames] == [24 * k for k in range(700)]
+    moved = bytearray(media.mux(b"x" * 192 * 700))
+    moved[-1] ^= 1
+    assert [fine for *_, fine in media.parse(bytes(moved))[1]] == [True, False]
 
 
 def test_neighbours(spark):
@@ -505,3 +533,31 @@ def test_substrings_odd_rows(spark):
         cut[i] = (2, t if isinstance(t, str) else " ".join(t) + " ")
     cut[5], cut[7], cut[9] = (3, ""), (5, " end"), (7, " ")
     assert left == Counter(cut) and substrings.remove(spark, docs).columns == docs.columns
+
+
+def test_neighbours_odd_rows(spark):
+    rows = [(0, [1.0, 0.0], 1), (0, [1.0, 0.0], 1), (50, [0.0, 1.0], 1), (50, [1.0, 0.1], 1), (3, [1.0, 0.2], 1), (3, [1.0, 0.3], 2), (4, [2.0, 0.4], 2), (None, [1.0, 0.0], 3), (5, [1.0, 0.0, 0.0], 3)]
+    kind = "vec_id long, embedding array<float>, rank int"
+    got = {(r.query_id, r["rank"]): (r.vec_id, round(r.score, 4)) for r in neighbours.search(spark, spark.createDataFrame(rows, kind)).collect()}
+    cos = lambda a, b: round(float(np.dot(a, b) / np.linalg.norm(a) / np.linalg.norm(b)), 4)
+    assert got == {
+        (0, 1): (50, cos([1, 0], [1, 0.1])), (0, 2): (3, cos([1, 0], [1, 0.2])), (0, 3): (4, cos([1, 0], [2, 0.4])),
+        (50, 1): (3, cos([1, 0.1], [1, 0.2])), (50, 2): (4, cos([1, 0.1], [2, 0.4])), (50, 3): (0, cos([1, 0.1], [1, 0])),
+    }
+    assert neighbours.search(spark, spark.createDataFrame([], kind)).count() == 0
+
+
+@pytest.mark.parametrize("n", [500, 2500, 9000])
+def test_neighbours_recall(spark, n):
+    """Vectors without any structure, the hardest case, at several sizes."""
+    x = np.random.default_rng(n).normal(size=(n, 64)).astype(np.float32)
+    got = neighbours.search(spark, spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>"), every=n // 40).collect()
+    d = x.astype(np.float64)
+    d /= np.linalg.norm(d, axis=1, keepdims=True)
+    found = total = 0
+    for q in range(0, n, n // 40):
+        s = d @ d[q]
+        s[q] = -9
+        found += len({r.vec_id for r in got if r.query_id == q} & {*np.argsort(-s)[:5].tolist()})
+        total += 5
+    assert found / total >= 0.9, found / total
