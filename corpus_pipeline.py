@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumenlake.llm import packing, simhash, substrings, toxicity
@@ -16,12 +16,17 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of linked fingerprints the document with the smallest doc_id stays; so do rows without an id.
+    """Of each component of linked fingerprints one row stays, with the smallest doc_id; so do rows without an id.
 
-    The ids that go are the smaller side. Nothing bounds their number, so they are not broadcast.
+    The ids that go are the smaller side. Nothing bounds their number, so they are not broadcast. Of rows that repeat with their id
+    one stays; rows of one id with different texts stay or go together. Rows without an id pass by, so that they don't meet in one task.
     """
     found = simhash.near_duplicates(spark, docs).where("doc_id is not null").groupBy("doc_id").agg(F.every(F.col("doc_id") != F.col("component_id")).alias("goes"))
-    return docs.join(found.where("goes").hint("merge"), "doc_id", "left_anti").select(*docs.columns)
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("h"))
+    kept = row.where("id is not null").join(found.where("goes").select(F.col("doc_id").alias("id")).hint("merge"), "id", "left_anti")
+    first = F.row_number().over(Window.partitionBy("id", "h").orderBy("h"))
+    kept = kept.withColumn("nth", first).where("nth = 1").select("row").unionByName(row.where("id is null").select("row"))
+    return kept.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
