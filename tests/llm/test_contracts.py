@@ -382,9 +382,10 @@ def test_substrings_pieces_of_a_chain(spark):
     assert got == {(7, 55, 30, 55, 1.0), (92, 55, 115, 55, 1.0)}
 
 
-@pytest.mark.parametrize("n_lines", [3, 90])
-def test_substrings_of_frequent_lines(spark, n_lines):
-    """Documents 900 and 901 share a passage of six lines, each of which n_lines earlier documents have first."""
+@pytest.mark.parametrize("n_lines, near", [(3, 1024), (90, 1024), (90, 1)])
+def test_substrings_of_frequent_lines(spark, monkeypatch, n_lines, near):
+    """Documents 900 and 901 share a passage of six lines, each of which n_lines earlier documents have first; also where every run is too frequent for a window."""
+    monkeypatch.setattr(substrings, "NEAR", near)
     rng = np.random.default_rng(13)
     word = lambda n: [f"w{x}" for x in rng.integers(0, 10**6, n)]
     lines = [word(24) for _ in range(6)]
