@@ -37,6 +37,13 @@ BATCH_WORDS = 200_000
 GRID = 1 << 20
 
 
+def halves(letters: np.ndarray, level: int) -> np.ndarray:
+    """The half of the alphabet, 0 or 1, that each letter is of; another one at each level."""
+    h = (letters.astype(np.uint64) + np.uint64(level << 40)) * np.uint64(0x9E3779B97F4A7C15)
+    h = (h ^ h >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
+    return (h >> np.uint64(60) & np.uint64(1)).astype(np.int64)
+
+
 class Grammar:
     """Levels of letters over a sequence of words. Negative words are borders: each stands once, and no letter spans one.
 
@@ -64,7 +71,7 @@ class Grammar:
             if len(many):
                 block[many], new = self.named(block[many], size[many], new)
             # letters of one half of the alphabet join those of the other that follow; of both ways round, the one that makes more pairs
-            half = (block * np.int64(-7046029254386353131) + np.int64(len(self.letters)) >> np.int64(40)) & 1
+            half = halves(block, len(self.letters))
             inner = (block[:-1] >= 0) & (block[1:] >= 0) & (half[:-1] != half[1:])
             one = inner & (half[:-1] == 0)
             two = inner & (half[:-1] == 1)
