@@ -28,12 +28,12 @@ from .common import discard, materialize, new_path, small_batches, table, utf8
 
 LONGEST = 4
 AT_LEAST = 30
-SHARDS = 3
+SHARDS = 2
 TOP = 2000
 #: A candidate goes if a longer one that holds it has at least this share of its occurrences, in hundredths.
 INSIDE = 80
 #: A chunk ends after so many words and borders, at the end of a text.
-CHUNK = 1 << 20
+CHUNK = 3 << 19
 #: Bits of the filter: an eighth of the number of words, as a power of two, between these.
 MIN_BITS, MAX_BITS = 1 << 16, 1 << 29
 
@@ -144,9 +144,9 @@ def scanned(chunked: DataFrame, step: int, now, before) -> DataFrame:
     def of(batches):
         for tokens, _, _, keys in opened(batches):
             found = []
-            ended = levels(tokens, keys, before.value)
+            ended = levels(tokens, keys, before.value) if before.value.any() else None
             for n, (at, key) in enumerate(levels(tokens, keys, now.value), 1):
-                past = next(ended)[0]
+                past = next(ended)[0] if ended else at[:0]
                 if n > 1:
                     found.append(key[~np.isin(at, past, assume_unique=True)] if len(past) else key)
                 elif step < SHARDS:
@@ -195,7 +195,7 @@ def frequent(chunked: DataFrame, at_least: int = AT_LEAST) -> np.ndarray:
             history[-1] = history[-2]
     discard(before)
     for sent in shared.values():
-        sent.unpersist()
+        sent.destroy()
     return history[-1]
 
 
