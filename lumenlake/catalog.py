@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .functions import text
 from .operators import evaluation as evaluation_ops
 from .operators import metrics, rules, similarity, temporal
-from .plans import evaluation, issues, training
+from .plans import evaluation, issues, streams, training
 from .streaming import ledger
 
 
@@ -189,5 +189,5 @@ SQL = {
     "mae_vs_median": "SELECT o_orderpriority, round(avg(abs(y - m)), 4) AS mae, round(max(m), 4) AS median FROM (SELECT o_orderpriority, o_totalprice::double AS y, median(o_totalprice::double) OVER (PARTITION BY o_orderpriority) AS m FROM orders) GROUP BY 1",
 }
 
-QUERIES |= evaluation.QUERIES | issues.QUERIES | training.QUERIES
-SQL |= evaluation.SQL | issues.SQL
+QUERIES |= evaluation.QUERIES | issues.QUERIES | training.QUERIES | streams.QUERIES
+SQL |= evaluation.SQL | issues.SQL | streams.SQL

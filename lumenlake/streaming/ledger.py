@@ -40,32 +40,35 @@ def open_counts(events: DataFrame) -> DataFrame:
     return per.groupBy("key").agg(F.sum("p").alias("scored"), fits(has_o, has_p).alias("resolved"), fits(has_o, ~has_p).alias("unmatched"), fits(~has_o, has_p).alias("pending"))
 
 
-def grade_stream(events: DataFrame, keep: str = "90 days") -> DataFrame:
-    """The same for a stream: the state of a key is its latest prediction; an outcome takes it, and after `keep` without an event it goes.
+def grade_stream(events: DataFrame, keep: str | None = None) -> DataFrame:
+    """The same for a stream: the state of a key is its latest prediction; an outcome takes it.
 
-    Rows of a key are ordered within each micro-batch, whose size the source's options bound.
+    A prediction waits for its outcome without end, as in grade(). keep: it goes once the watermark on `at` (which it needs) has
+    passed it by so much. Rows of a key are ordered within each micro-batch, whose size the source's options bound.
     """
-    limit = pd.Timedelta(keep) // pd.Timedelta("1ms")
+    limit = None if keep is None else pd.Timedelta(keep) // pd.Timedelta("1ms")
 
     def step(key, batches, state: GroupState):
         if state.hasTimedOut:
             state.remove()
             return
         rows = pd.concat(list(batches)).assign(_side=lambda d: d.kind.eq("outcome")).sort_values(["at", "_side", "value"])
-        score = state.get[0] if state.exists else None
+        score, at = state.get if state.exists else (None, None)
         out = []
         for r in rows.itertuples(index=False):
             if r.kind == "prediction":
-                score = r.value
+                score, at = r.value, r.at.value // 1_000_000
             elif score is not None:
                 out.append((key[0], r.at, score, r.value))
                 score = None
         if score is not None:
-            state.update((score,))
-            state.setTimeoutDuration(limit)
+            state.update((score, at))
+            if limit is not None:
+                state.setTimeoutTimestamp(max(at + limit, state.getCurrentWatermarkMs() + 1))
         elif state.exists:
             state.remove()
         yield pd.DataFrame(out, columns=["key", "at", "score", "outcome"])
 
     wanted = events.where("kind in ('prediction', 'outcome')")
-    return wanted.groupBy("key").applyInPandasWithState(step, GRADED, "score double", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    timeout = GroupStateTimeout.NoTimeout if limit is None else GroupStateTimeout.EventTimeTimeout
+    return wanted.groupBy("key").applyInPandasWithState(step, GRADED, "score double, at long", "append", timeout)
