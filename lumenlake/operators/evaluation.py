@@ -10,6 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .prefix import running_sums
 from .temporal import ranked
 
 #: Thresholds 0.10, 0.12 .. 0.90.
@@ -54,7 +55,14 @@ def per_class(df: DataFrame, truth: str, predicted: str) -> DataFrame:
 def reliability(df: DataFrame, label: str, score: str, bins: int = 10) -> DataFrame:
     """bin, n, mean_score, rate: bins between exact quantiles of the score; a score on an edge is in the lower bin."""
     per = df.groupBy(F.col(score).alias("s")).agg(F.count("*").alias("n"), F.sum(label).alias("pos"))
-    edges = per.agg(F.expr(f"percentile(s, array({', '.join(str(k / bins) + 'D' for k in range(1, bins))}), n)").alias("edges"))
+    places = {f"{side}{k}": lambda n, k=k, end=end: end((n - 1) * F.lit(k / bins)) for k in range(1, bins) for side, end in (("lo", F.floor), ("hi", F.ceil))}
+    found = order_statistics(df.select(F.lit(0).alias("g"), F.col(score).alias("v")), "v", "g", places).crossJoin(F.broadcast(df.agg(F.count(score).alias("n"))))  # one row each
+
+    def edge(k: int) -> Column:
+        lo, hi, at = F.col(f"lo{k}"), F.col(f"hi{k}"), (F.col("n") - 1) * F.lit(k / bins)
+        return F.when(lo == hi, lo).otherwise((F.ceil(at) - at) * lo + (at - F.floor(at)) * hi)
+
+    edges = found.select(F.array(*map(edge, range(1, bins))).alias("edges"))
     binned = per.crossJoin(F.broadcast(edges)).withColumn("bin", F.size(F.filter("edges", lambda e: e < F.col("s"))))  # edges: one row
     return binned.groupBy("bin").agg(F.sum("n").alias("n"), (F.sum(F.col("s") * F.col("n")) / F.sum("n")).alias("mean_score"), (F.sum("pos") / F.sum("n")).alias("rate"))
 
@@ -63,11 +71,17 @@ def spearman(df: DataFrame, x: str, y: str, group: str) -> DataFrame:
     """group, spearman: correlation of average ranks; 0 where it is not defined."""
     joint = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(group, F.col(x).alias("x"), F.col(y).alias("y")).agg(F.count("*").alias("n"))
 
-    def rank(c: str) -> Column:
-        return F.sum("n").over(Window.partitionBy(group).orderBy(c)) - (F.sum("n").over(Window.partitionBy(group, c)) - 1) / 2
+    def ranked_by(c: str) -> DataFrame:
+        """group, the value, and its average rank."""
+        counts = joint.groupBy(group, c).agg(F.sum("n").alias("n"))
+        upto = running_sums(counts, group, c, {"upto": "n"})
+        return upto.select(F.col(group).alias(f"_g{c}"), F.col(c).alias(f"_{c}"), (F.col("upto") - (F.col("n") - 1) / 2).alias(f"r{c}"))
+
+    for c in ("x", "y"):
+        joint = joint.join(ranks := ranked_by(c), F.col(group).eqNullSafe(ranks[f"_g{c}"]) & (F.col(c) == ranks[f"_{c}"])).drop(f"_g{c}", f"_{c}")
 
     n, a, b = F.col("n").cast("double"), F.col("rx"), F.col("ry")
-    s = joint.withColumns({"rx": rank("x"), "ry": rank("y")}).groupBy(group).agg(
+    s = joint.groupBy(group).agg(
         F.sum(n).alias("n"), F.sum(n * a).alias("a"), F.sum(n * b).alias("b"), F.sum(n * a * a).alias("aa"), F.sum(n * b * b).alias("bb"), F.sum(n * a * b).alias("ab")
     )
     spread = lambda sq, t: F.greatest(F.col("n") * F.col(sq) - F.col(t) * F.col(t), F.lit(0.0))
@@ -100,7 +114,8 @@ def nearest_rank(df: DataFrame, value: str, group: str, shares: dict[str, float]
 
 def prior_counts(df: DataFrame, keys: list[str], order: list[str], out: str = "prior") -> DataFrame:
     """How many earlier rows have the same keys; the row itself is not counted."""
-    return df.withColumn(out, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long") - 1)
+    rows = ranked(df.withColumn("_key", F.struct(*keys)), "_key", order, "_place", "_size")
+    return rows.select(*df.columns, (F.col("_place") - 1).cast("long").alias(out))
 
 
 def running_leaderboard(df: DataFrame, group: str, item: str, order: list[str], ks: tuple[int, ...] = (1, 3, 5)) -> DataFrame:
@@ -113,7 +128,7 @@ def running_leaderboard(df: DataFrame, group: str, item: str, order: list[str],
     rows = ranked(df, group, order, "_at", "_all")
     by = Window.partitionBy(group, item).orderBy("_at")
     rows = rows.select(group, item, "test", "_at", (F.row_number().over(by) - 1).alias("_prior"), F.lead("_at").over(by).alias("_next"))
-    rows = rows.withColumn("_more", F.row_number().over(Window.partitionBy(group, "_prior").orderBy("_at")) - 1)
+    rows = ranked(rows.withColumn("_tie", F.struct(group, "_prior")), "_tie", ["_at"], "_more", "_size").withColumn("_more", F.col("_more") - 1).drop("_tie", "_size")
     asked = rows.where("test = 1")
     near = asked.where((F.col("_prior") > 0) & (F.col("_more") < max(ks)))
     tied = rows.select(F.col(group).alias("_g"), F.col(item).alias("_item"), (F.col("_prior") + 1).alias("_count"), F.col("_at").alias("_since"), F.col("_next").alias("_until"))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .prefix import running_sums
+
 
 def confusion(df: DataFrame, label: str, score: str, threshold: float = 0.5, group: str | None = None) -> DataFrame:
     """tp, fp, fn, tn, precision, recall, f1, accuracy, brier; with group, a grouping set gives all groups and the total (null)."""
@@ -21,17 +23,15 @@ def confusion(df: DataFrame, label: str, score: str, threshold: float = 0.5, gro
 
 
 def by_score(df: DataFrame, label: str, score: str, group: str) -> DataFrame:
-    """Counts per distinct score, and their running sums from the top: what curves need, pre-aggregated before any window."""
+    """Counts per distinct score, and their running sums from the top: what curves need, pre-aggregated and summed by ranges of the score."""
     per = df.groupBy(group, score).agg(F.sum(label).alias("pos"), F.count("*").alias("n"))
-    down = Window.partitionBy(group).orderBy(F.desc(score))
-    return per.withColumns({"tp": F.sum("pos").over(down), "seen": F.sum("n").over(down)})
+    return running_sums(per, group, score, {"tp": "pos", "seen": "n"}, descending=True)
 
 
 def auc(df: DataFrame, label: str, score: str, group: str) -> DataFrame:
     """group, roc_auc (ties count half) and average precision; null where one class is missing."""
     s = by_score(df, label, score, group).withColumn("neg", F.col("n") - F.col("pos"))
-    s = s.withColumns({"fp": F.col("seen") - F.col("tp"), "total": F.sum("pos").over(Window.partitionBy(group)), "others": F.sum("neg").over(Window.partitionBy(group))})
     pairs = F.sum(F.col("neg") * (F.col("tp") - F.col("pos") / 2))
     return s.groupBy(group).agg(
-        F.try_divide(pairs, F.max("total") * F.max("others")).alias("roc_auc"), F.try_divide(F.sum(F.col("pos") * F.col("tp") / F.col("seen")), F.max("total")).alias("average_precision")
+        F.try_divide(pairs, F.sum("pos") * F.sum("neg")).alias("roc_auc"), F.try_divide(F.sum(F.col("pos") * F.col("tp") / F.col("seen")), F.sum("pos")).alias("average_precision")
     )

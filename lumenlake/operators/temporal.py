@@ -17,7 +17,9 @@ def as_of(left: DataFrame, right: DataFrame, key: str, at: str, value: str, out:
 
 
 def first_flag(df: DataFrame, keys: list[str], order: list[str], out: str = "is_first") -> DataFrame:
-    return df.withColumn(out, (F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) == 1).cast("int"))
+    """1 in the first row of each key."""
+    rows = ranked(df.withColumn("_key", F.struct(*keys)), "_key", order, "_place", "_size")
+    return rows.select(*df.columns, (F.col("_place") == 1).cast("int").alias(out))
 
 
 def ranked(df: DataFrame, group: str, order: list[str], rank: str = "_k", total: str = "_n") -> DataFrame:

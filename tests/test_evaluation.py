@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from lumenlake.functions import labels
-from lumenlake.operators import evaluation, models, rules, similarity, temporal
+from lumenlake.operators import evaluation, metrics, models, prefix, rules, similarity, temporal
 from lumenlake.plans import training
 from lumenlake.sources import files
 from lumenlake.streaming import ledger
@@ -131,3 +131,22 @@ def test_large_query_sets_meet_rows_in_blocks(spark, monkeypatch):
     small = sorted(map(tuple, similarity.top_similar(df, df, "g", 3, 0.1).select("q_id", "id", "similarity", "rank").collect()))
     monkeypatch.setattr(similarity, "MAX_BROADCAST", 7)
     assert sorted(map(tuple, similarity.top_similar(df, df, "g", 3, 0.1).select("q_id", "id", "similarity", "rank").collect())) == small
+
+
+def test_running_sums_share_a_hot_group(spark):
+    """Hundreds of thousands of distinct scores in one group: the same values as a sort, and no range holds more than its share."""
+    n = 100_000
+    df = spark.range(n).select(F.lit("g").alias("g"), (F.pmod(F.xxhash64("id"), F.lit(1 << 52)) / F.lit(float(1 << 52))).alias("p"), "id").withColumn("y", (F.pmod(F.xxhash64("id", F.lit(1)), F.lit(100)) < 60 * F.col("p") + 20).cast("int"))
+    df = df.unionByName(spark.createDataFrame([("few", 0.5, 1, 1), ("few", 0.5, 2, 0), (None, 0.25, 3, 1), (None, 0.75, 4, 0)], "g string, p double, id long, y int")).cache()
+    rows = df.where("g = 'g'").toPandas().sort_values("p", ascending=False)
+    y, at = rows.y.to_numpy(), np.arange(1, n + 1)
+    tp = np.cumsum(y)
+    roc, ap = (tp * (1 - y)).sum() / (y.sum() * (n - y.sum())), (y * tp / at).sum() / y.sum()
+    got = {r.g: r for r in metrics.auc(df, "y", "p", "g").collect()}
+    assert got["g"].roc_auc == pytest.approx(roc) and got["g"].average_precision == pytest.approx(ap)
+    assert (got["few"].roc_auc, got["few"].average_precision) == (0.5, 0.5) and (got[None].roc_auc, got[None].average_precision) == (0.0, 0.5)
+    largest = prefix.ranged(df, "g", "p").where("g = 'g'").groupBy("_range").count().agg(F.max("count")).first()[0]
+    assert largest < 0.02 * n
+    x = df.where("g = 'g'").select("g", F.col("p").alias("x"), (F.col("p") * F.col("p") + F.col("y")).alias("z"))
+    pandas = x.toPandas()
+    assert evaluation.spearman(x, "x", "z", "g").first().spearman == pytest.approx(pandas.x.rank().corr(pandas.z.rank()))
