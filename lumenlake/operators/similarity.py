@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
+
+from ..sources.files import stored
 
 #: A query set over this many rows is not broadcast.
 MAX_BROADCAST = 2000
@@ -44,3 +49,44 @@ def top_similar(queries: DataFrame, rows: DataFrame, group: str | None, k: int,
     best = lambda *keys: F.row_number().over(Window.partitionBy("q_id", *keys).orderBy(F.desc("similarity"), "id"))
     pairs = pairs.withColumn("_part", F.pmod(F.xxhash64("id"), F.lit(64))).withColumn("rank", best("_part")).where(F.col("rank") <= k).drop("_part")
     return pairs.withColumn("rank", best()).where(F.col("rank") <= k)
+
+
+#: Rounding of sums may not hide a pair at the floor.
+MARGIN = 1e-9
+
+
+def _shared(a: tuple, b: tuple) -> float:
+    _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
+    return float(a[1][i] @ b[1][j])
+
+
+@F.pandas_udf(DoubleType())
+def _sparse_dot(a_places: pd.Series, a_weights: pd.Series, b_places: pd.Series, b_weights: pd.Series) -> pd.Series:
+    return pd.Series([_shared((p, v), (q, w)) for p, v, q, w in zip(a_places, a_weights, b_places, b_weights)], dtype=float)
+
+
+def best_prior(vectors: DataFrame, key: str, group: str, floor: float) -> DataFrame:
+    """key, of, similarity: for each vector the most similar one with a smaller key in its group, if that is floor or more. Rounded to 6 places; ties go to the smaller key.
+
+    vectors: key, group, place, weight; each of unit length, places numbered from the rarest term on. An inverted list holds a vector only at its first
+    places, as long as what follows is floor long or longer: a pair that reaches the floor shares its rarest common term there, and there the
+    product of both remaining lengths reaches the floor. All other pairs are never made, so no link is lost. Equal vectors meet as one (their
+    smallest key); the others of them have that one, or what it found at similarity 1.
+    """
+    vectors = stored(vectors, "vectors")
+    listed = vectors.groupBy(key, group).agg(F.array_sort(F.collect_list(F.struct("place", "weight"))).alias("v"))
+    listed = listed.select(F.col(key).alias("id"), F.col(group).alias("g"), F.col("v.place").alias("places"), F.transform("v.weight", lambda w: F.round(w, 12)).alias("weights"))
+    classes = listed.groupBy("g", "places", "weights").agg(F.min("id").alias("first"), F.collect_list("id").alias("ids"))
+    classes = stored(classes, "classes")
+    left = F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(Window.partitionBy(key).orderBy(F.desc("place"))))  # of this place and all after it
+    first = vectors.select(F.col(key).alias("first"), F.col(group).alias("g"), "place", left.alias("tail")).where(F.col("tail") >= floor - MARGIN)
+    heads = first.join(classes.select("first"), "first", "left_semi")
+    theirs = heads.select("g", "place", F.col("first").alias("of"), F.col("tail").alias("of_tail"))
+    pairs = heads.join(theirs.hint("merge"), ["g", "place"]).where((F.col("of") < F.col("first")) & (F.col("tail") * F.col("of_tail") >= floor - MARGIN)).select("first", "of").distinct()
+    whole = classes.select("first", "places", "weights")
+    met = pairs.join(whole, "first").join(whole.select(F.col("first").alias("of"), F.col("places").alias("of_places"), F.col("weights").alias("of_weights")), "of")
+    met = met.select("first", "of", F.round(_sparse_dot("places", "weights", "of_places", "of_weights"), 6).alias("similarity")).where(F.col("similarity") >= floor)
+    best = met.groupBy("first").agg(F.max(F.struct("similarity", (-F.col("of")).alias("o"))).alias("b")).select("first", F.col("b.similarity").alias("similarity"), (-F.col("b.o")).alias("of"))
+    copies = classes.select("first", F.explode("ids").alias("id")).where("id <> first").join(best, "first", "left")
+    copies = copies.select("id", F.when(F.col("similarity") >= 1, F.col("of")).otherwise(F.col("first")).alias("of"), F.lit(1.0).alias("similarity"))
+    return best.select(F.col("first").alias(key), "of", "similarity").unionByName(copies.withColumnRenamed("id", key))

@@ -2,13 +2,29 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def terms(df: DataFrame, key: str, text: str) -> DataFrame:
-    """key, term: lower-case words of two or more letters or digits, and pairs of neighbouring ones."""
-    words = df.select(key, F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0)).alias("w"))
+#: Letters of these blocks lose their accents: Latin-1 to Latin Extended-B, and Latin Extended Additional.
+ACCENTED = [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]
+
+
+def folded(text: Column) -> Column:
+    """Letters without accents: those that decompose into one letter and marks become that letter, marks on their own go."""
+    pairs = [(chr(c), base) for c in ACCENTED if len(base := "".join(x for x in unicodedata.normalize("NFD", chr(c)) if not unicodedata.combining(x))) == 1 and base != chr(c)]
+    marks = "".join(map(chr, range(0x300, 0x370)))
+    return F.translate(text, "".join(c for c, _ in pairs) + marks, "".join(base for _, base in pairs))
+
+
+def terms(df: DataFrame, key: str, text: str, stop: tuple[str, ...] = (), fold: bool = False) -> DataFrame:
+    """key, term: lower-case words of two or more letters or digits, and pairs of neighbouring ones. Accents go first, stop words before pairs are made."""
+    plain = F.lower(F.coalesce(text, F.lit("")))
+    words = df.select(key, F.regexp_extract_all(folded(plain) if fold else plain, F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0)).alias("w"))
+    if stop:
+        words = words.withColumn("w", F.filter("w", lambda x: ~x.isin(*stop)))
     pairs = F.when(F.size("w") > 1, F.zip_with(F.slice("w", F.lit(1), F.size("w") - 1), F.slice("w", F.lit(2), F.size("w") - 1), lambda a, b: F.concat_ws(" ", a, b))).otherwise(F.array().cast("array<string>"))
     return words.select(key, F.explode(F.concat("w", pairs)).alias("term"))
 
@@ -27,14 +43,15 @@ def char_terms(df: DataFrame, key: str, text: str, low: int = 3, high: int = 5)
     return words.select(key, F.explode(F.concat(*map(grams, range(low, high + 1)))).alias("term"))
 
 
-def tf_idf(df: DataFrame, key: str, text: str, min_df: int = 2, max_terms: int = 20_000) -> DataFrame:
-    """key, term, weight. The vocabulary is the max_terms most frequent terms that min_df or more rows hold (ties: the smaller term); as it is bounded, it is broadcast.
+def tf_idf(df: DataFrame, key: str, text: str, min_df: int = 2, max_terms: int = 20_000, stop: tuple[str, ...] = (), fold: bool = False) -> DataFrame:
+    """key, term, place, weight. The vocabulary is the max_terms most frequent terms that min_df or more rows hold (ties: the smaller term); as it is bounded, it is broadcast.
 
-    key is taken as unique; rows without a term of the vocabulary give nothing.
+    place numbers the vocabulary from the rarest term on. key is taken as unique; rows without a term of the vocabulary give nothing.
     """
-    counts = terms(df, key, text).groupBy(key, "term").agg(F.count("*").alias("tf"))
+    counts = terms(df, key, text, stop, fold).groupBy(key, "term").agg(F.count("*").alias("tf"))
     vocabulary = counts.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total")).where(F.col("df") >= min_df).orderBy(F.desc("total"), "term").limit(max_terms)
+    vocabulary = vocabulary.withColumn("place", F.row_number().over(Window.orderBy("df", "term")))  # max_terms rows
     n = df.agg(F.count("*").alias("n"))
     raw = (1 + F.log(F.col("tf").cast("double"))) * (F.log((1.0 + F.col("n")) / (1.0 + F.col("df"))) + 1)
-    weighed = counts.join(F.broadcast(vocabulary), "term").crossJoin(F.broadcast(n)).select(key, "term", raw.alias("raw"))  # n: one row
-    return weighed.select(key, "term", (F.col("raw") / F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(key)))).alias("weight"))
+    weighed = counts.join(F.broadcast(vocabulary), "term").crossJoin(F.broadcast(n)).select(key, "term", "place", raw.alias("raw"))  # n: one row
+    return weighed.select(key, "term", "place", (F.col("raw") / F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(key)))).alias("weight"))

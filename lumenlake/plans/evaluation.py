@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import labels
-from ..operators import evaluation, temporal, vectors
+from ..operators import evaluation, similarity, temporal, vectors
 from ..sources import files
 
 
@@ -78,6 +78,24 @@ def term_weights(spark, d):
     return vectors.tf_idf(_t(spark, d, "benchmark"), "item_id", "text").select("item_id", "term", F.round("weight", 6).alias("weight"))
 
 
+#: Frequent words of the four languages of the documents.
+STOP_WORDS = ("the", "of", "and", "to", "in", "is", "that", "for", "on", "with", "der", "die", "das", "und", "des", "de", "la", "le", "les", "el", "los", "que", "un", "une", "en", "qui", "por", "para")
+LIKE = 0.8
+
+
+def document_term_weights(spark, d):
+    """Words without accents and stop words, and pairs of them, that five documents hold."""
+    found = vectors.tf_idf(_t(spark, d, "documents"), "doc_id", "text", 5, 5000, STOP_WORDS, True)
+    return found.select("doc_id", "term", F.round("weight", 6).alias("weight"))
+
+
+def tfidf_cosine_dups(spark, d):
+    """For each document the most similar earlier one of its language, if the cosine of their terms is LIKE or more."""
+    docs = _t(spark, d, "documents")
+    found = vectors.tf_idf(docs, "doc_id", "text", 2, 20_000, STOP_WORDS, True).join(docs.select("doc_id", F.coalesce("lang", F.lit("")).alias("lang")), "doc_id")
+    return similarity.best_prior(found, "doc_id", "lang", LIKE).select("doc_id", "of", F.round("similarity", 4).alias("similarity"))
+
+
 def recent_trend(spark, d):
     per = _t(spark, d, "events").where("event_type = 'view'").groupBy(F.to_date("ts").alias("day")).agg(F.count("*").alias("n"))
     return per.orderBy(F.desc("day")).limit(30)
@@ -119,7 +137,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         threshold_search, multiclass_metrics, reliability_curve, spearman_by_priority, nearest_rank_percentiles, prior_frequency, leaderboard_hits, category_by_priority, report_gaps,
-        term_weights, recent_trend, user_analytics, scan_windows, half_split, csv_round_trip, jsonl_replay, props_json,
+        term_weights, document_term_weights, tfidf_cosine_dups, recent_trend, user_analytics, scan_windows, half_split, csv_round_trip, jsonl_replay, props_json,
     )
 }
 
@@ -127,7 +145,21 @@ _S = "(SELECT doc_id, lang, quality, round(least(1.0::double, n_chars / 5000.0::
 _TOKENS = r"regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]{2,}')"
 _GUESS = "CASE " + " ".join(f"WHEN contains(coalesce(text, ''), '{w}') THEN '{k}'" for w, k in GUESSES) + " ELSE 'en' END"
 
+_STOP = ", ".join(f"'{w}'" for w in STOP_WORDS)
+
+
+def _weights(min_df: int, max_terms: int) -> str:
+    return f"""w AS (SELECT doc_id, [x FOR x IN regexp_extract_all(strip_accents(lower(coalesce(text, ''))), '[\\p{{L}}\\p{{N}}_]{{2,}}') IF x NOT IN ({_STOP})] AS w FROM documents),
+        t AS (SELECT doc_id, unnest(w) AS term FROM w UNION ALL SELECT doc_id, w[i] || ' ' || w[i + 1] FROM (SELECT *, unnest(range(1, len(w))) AS i FROM w)),
+        c AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY 1, 2), v AS (SELECT term, count(*) AS df FROM c GROUP BY 1 HAVING count(*) >= {min_df} ORDER BY sum(tf) DESC, term LIMIT {max_terms}),
+        r AS (SELECT doc_id, term, (1 + ln(tf)) * (ln((1.0::double + (SELECT count(*) FROM documents)) / (1.0::double + df)) + 1) AS x FROM c JOIN v USING (term)), u AS (SELECT doc_id, term, x / sqrt(sum(x * x) OVER (PARTITION BY doc_id)) AS weight FROM r)"""
+
+
 SQL = {
+    "document_term_weights": f"WITH {_weights(5, 5000)} SELECT doc_id, term, round(weight, 6) AS weight FROM u",
+    "tfidf_cosine_dups": f"""WITH {_weights(2, 20000)}, l AS (SELECT u.*, coalesce(lang, '') AS lang FROM u JOIN documents USING (doc_id)),
+        s AS (SELECT a.doc_id, b.doc_id AS of, round(sum(a.weight * b.weight), 6) AS similarity FROM l a JOIN l b ON a.term = b.term AND a.lang = b.lang AND b.doc_id < a.doc_id GROUP BY 1, 2 HAVING round(sum(a.weight * b.weight), 6) >= {LIKE}::double)
+        SELECT doc_id, of, round(similarity, 4) AS similarity FROM s QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY similarity DESC, of) = 1""",
     "threshold_search": f"""WITH s AS {_S}, m AS (SELECT lang, t, count(*) FILTER (quality = 1 AND score >= t) AS tp, count(*) FILTER (quality <> 1 AND score >= t) AS fp, count(*) FILTER (quality = 1 AND score < t) AS fn, sum(quality) AS p, count(*) AS n
         FROM s, (SELECT unnest([{', '.join(f'{t}::double' for t in evaluation.GRID)}]) AS t) GROUP BY 1, 2),
         r AS (SELECT *, coalesce(2.0::double * tp / nullif(2 * tp + fp + fn, 0), 0) AS f1, p > 0 AND p < n AS fit FROM m), k AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY f1 DESC, t) AS rank FROM r)

@@ -21,6 +21,13 @@ def shared_path(spark: SparkSession, tag: str) -> str:
     return f"{root.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, tag: str) -> DataFrame:
+    """df as a Parquet table under the shared folder, for what is read more than once."""
+    path = shared_path(df.sparkSession, tag)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _nested(field) -> bool:
     return isinstance(field.dataType, (ArrayType, MapType, StructType))
 
