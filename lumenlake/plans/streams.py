@@ -78,7 +78,24 @@ def latency_sketches(spark, d):
     return latency.merged(latency.sketches(_requests(spark.read.parquet(f"{d}/events.parquet"))), ["endpoint"])
 
 
-QUERIES = {f.__name__: f for f in (stream_event_routes, stream_restarted, stream_counters, stream_latency, latency_sketches)}
+def _routed(spark, d):
+    return triage.routes(_issue_events(spark.read.parquet(f"{d}/events.parquet")))
+
+
+def facet_resolutions(spark, d):
+    return triage.resolutions(triage.graded_batch(_routed(spark, d)))
+
+
+def facet_duplicates(spark, d):
+    """Every sixth event stands for one with related candidates, the label l2 for a duplicate's."""
+    return triage.duplicates(_routed(spark, d), F.col("event_id") % 6 == 0, "L2")
+
+
+def facet_components(spark, d):
+    return triage.components(_routed(spark, d), F.pmod("key", F.lit(10)))
+
+
+QUERIES = {f.__name__: f for f in (stream_event_routes, stream_restarted, stream_counters, stream_latency, latency_sketches, facet_resolutions, facet_duplicates, facet_components)}
 
 _ROUTES = """(SELECT event_id, user_id AS key, ts, CASE
     WHEN event_type IN ('view', 'click') AND event_id % 11 = 0 THEN 'ignored' WHEN event_type = 'view' THEN 'scored' WHEN event_type = 'click' AND k % 7 = 0 THEN 'ignored' WHEN event_type = 'click' THEN 'rescored'
@@ -95,4 +112,9 @@ SQL = {
     "stream_latency": """SELECT endpoint, n, v[least(n, floor(n * 0.5)::bigint + 1)] AS p50, v[least(n, floor(n * 0.95)::bigint + 1)] AS p95, v[least(n, floor(n * 0.99)::bigint + 1)] AS p99, errors
   FROM (SELECT event_type AS endpoint, count(*) FILTER (nth <= 1000) AS n, list_sort(list(value) FILTER (nth <= 1000)) AS v, count(*) FILTER ((props::json ->> 'k')::bigint >= 95) AS errors
     FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS nth FROM events) GROUP BY 1)""",
+    "facet_resolutions": f"""SELECT count(*) FILTER (route = 'graded' AND outcome = 1) AS resolved_actionable, count(*) FILTER (route = 'graded' AND outcome = 0) AS resolved_non_actionable,
+    (SELECT count(*) FROM (SELECT route, row_number() OVER (PARTITION BY key ORDER BY ts DESC, event_id DESC) AS nth FROM {_ROUTES} WHERE route IN ('scored', 'rescored', 'outcome')) WHERE nth = 1 AND route <> 'outcome') AS awaiting_outcome FROM ({_GRADED})""",
+    "facet_duplicates": f"""SELECT count(*) FILTER (route = 'scored' AND event_id % 6 = 0) AS with_related, round(count(*) FILTER (route = 'scored' AND event_id % 6 = 0) / count(*) FILTER (route IN ('scored', 'rescored')), 4) AS rate,
+    count(*) FILTER (route = 'recorded' AND change = '+l2') AS duplicate_labels FROM {_ROUTES}""",
+    "facet_components": f"SELECT key % 10 AS component, count(*) AS scored, round(count(*) FILTER (p >= 0.5) / count(*), 4) AS positive_rate, round(sum(p) / count(*), 4) AS mean_score FROM {_ROUTES} WHERE route IN ('scored', 'rescored') GROUP BY 1",
 }

@@ -135,3 +135,29 @@ def counters(routed: DataFrame, every: str = "1 day", late: str | None = None, s
         F.count_if(new).alias("scored"), F.count_if(new & (F.col("score") >= 0.5)).alias("positive"), F.sum(F.when(new, F.col("score")).otherwise(0.0)).alias("total"), F.count_if(~new).alias("rescored")
     )
     return found.select(F.col("window.start").alias("start"), "shard", "scored", "positive", "total", "rescored")
+
+
+def share(part: Column, whole: Column) -> Column:
+    """Rounded to 4 places; null of nothing."""
+    return F.round(F.try_divide(part, whole), 4)
+
+
+def resolutions(graded: DataFrame) -> DataFrame:
+    """One row: graded outcomes of both classes, and the predictions that still wait for theirs."""
+    done = graded.agg(*[F.count_if((F.col("route") == "graded") & (F.col("outcome") == y)).alias(name) for name, y in (("resolved_actionable", 1), ("resolved_non_actionable", 0))])
+    return done.crossJoin(F.broadcast(open_predictions(graded).agg(F.count("*").alias("awaiting_outcome"))))  # one row each
+
+
+def duplicates(routed: DataFrame, related: Column, word: str = "duplicate") -> DataFrame:
+    """One row: new predictions that had related candidates, their share of all predictions (edits count too), and labels with the word that were added."""
+    new = F.col("route") == "scored"
+    named = F.col("change").startswith("+") & F.contains(F.lower("change"), F.lit(word.lower()))
+    found = routed.agg(F.count_if(new & related).alias("with_related"), F.count_if(F.col("route").isin("scored", "rescored")).alias("n"), F.count_if(named).alias("duplicate_labels"))
+    return found.select("with_related", share(F.col("with_related"), F.col("n")).alias("rate"), "duplicate_labels")
+
+
+def components(routed: DataFrame, component: Column) -> DataFrame:
+    """component, scored (edits count too), positive_rate, mean_score."""
+    rows = routed.where(F.col("route").isin("scored", "rescored")).groupBy(component.alias("component"))
+    found = rows.agg(F.count("*").alias("scored"), F.count_if(F.col("score") >= 0.5).alias("p"), F.sum("score").alias("s"))
+    return found.select("component", "scored", share(F.col("p"), F.col("scored")).alias("positive_rate"), share(F.col("s"), F.col("scored")).alias("mean_score"))

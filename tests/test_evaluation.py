@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from lumenlake.functions import labels
-from lumenlake.operators import evaluation, metrics, models, prefix, rules, similarity, temporal
+from lumenlake.operators import evaluation, metrics, models, prefix, rules, similarity, temporal, vectors
 from lumenlake.plans import training
 from lumenlake.sources import files
 from lumenlake.streaming import ledger
@@ -150,3 +150,32 @@ def test_running_sums_share_a_hot_group(spark):
     x = df.where("g = 'g'").select("g", F.col("p").alias("x"), (F.col("p") * F.col("p") + F.col("y")).alias("z"))
     pandas = x.toPandas()
     assert evaluation.spearman(x, "x", "z", "g").first().spearman == pytest.approx(pandas.x.rank().corr(pandas.z.rank()))
+
+
+def test_best_prior_loses_no_link(spark):
+    """Against all pairs: random sparse vectors with copies, near copies and one very common term."""
+    rnd = np.random.default_rng(6)
+    rows, known = [], {}
+    for k in range(150):
+        if k % 5 == 1:
+            v = dict(known[k - 1])
+        elif k % 5 == 2:
+            v = {**known[k - 1], int(rnd.integers(0, 60)): 0.3}
+        else:
+            v = {int(p): float(w) for p, w in zip(rnd.choice(60, 8, replace=False), rnd.random(8) + 0.1)} | {60: 1.0}
+        length = np.sqrt(sum(w * w for w in v.values()))
+        known[k] = {p: float(w / length) for p, w in v.items()}
+        rows += [(k, "ab"[k // 5 % 2], p, w) for p, w in known[k].items()]
+    got = {r.k: (r.of, r.similarity) for r in similarity.best_prior(spark.createDataFrame(rows, "k long, g string, place int, weight double"), "k", "g", 0.6).collect()}
+    expected = {}
+    for k, v in known.items():
+        found = [(-round(sum(w * known[j].get(p, 0.0) for p, w in v.items()), 6), j) for j in range(k) if j // 5 % 2 == k // 5 % 2]
+        if found and -min(found)[0] >= 0.6:
+            expected[k] = (min(found)[1], -min(found)[0])
+    assert {k: of for k, (of, _) in got.items()} == {k: of for k, (of, _) in expected.items()} and all(got[k][1] == pytest.approx(expected[k][1], abs=2e-6) for k in got) and len(got) > 60
+    assert similarity.best_prior(spark.createDataFrame([], "k long, g string, place int, weight double"), "k", "g", 0.6).count() == 0
+
+
+def test_accents_fold(spark):
+    df = spark.createDataFrame([("ÉÀñ ß ø ǎ ế é 日本",)], "t string")
+    assert df.select(vectors.folded(F.lower("t"))).first()[0] == "ean ß ø a e e 日本"
