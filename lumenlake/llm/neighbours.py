@@ -89,7 +89,13 @@ def footrule(files: dict[int, tuple[np.ndarray, np.ndarray]], order: np.ndarray,
     return out
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times powers of two, so that their largest component is near 1: squares neither overflow nor vanish, and cosines keep their bits."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=-1, keepdims=True))[1])
+
+
 def cosines(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    x, q = scaled(x), scaled(q)
     return (x * q).sum(axis=1) / (np.sqrt((x * x).sum(axis=1)) * np.sqrt((q * q).sum()))
 
 
@@ -125,9 +131,9 @@ def search(spark: SparkSession, vectors: DataFrame, every: int = 50, k: int = K,
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
         width = key[2]
         held = part[part["pivot"] == -1].iloc[0]
-        x = np.frombuffer(held.vectors, np.float64).reshape(-1, width)
+        x = scaled(np.frombuffer(held.vectors, np.float64).reshape(-1, width))
         lengths, ids = np.sqrt((x * x).sum(axis=1)), held.ids
-        q = np.array(asked.v.tolist(), np.float64)
+        q = scaled(np.array(asked.v.tolist(), np.float64))
         keep = max(LEAST, int(np.ceil(share * len(x))))
         p = pivots.get(width)
         near = p is not None and len(x) > keep
