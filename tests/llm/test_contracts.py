@@ -397,6 +397,36 @@ def test_substrings_of_frequent_lines(spark, monkeypatch, n_lines, near):
     assert {i for r in got for i in range(r.first_word, r.first_word + r.n_words)} == set(range(20, 164))
 
 
+def test_window_hashes():
+    x = np.random.default_rng(3).integers(0, 5, 400).astype(np.uint64)
+    got = substrings.window_hashes(x, 3)
+    runs = [tuple(x[i : i + 3]) for i in range(398)]
+    assert len(got) == 398 and len(set(got.tolist())) == len(set(runs)) == len({(r, g) for r, g in zip(runs, got.tolist())})
+    assert len(substrings.window_hashes(x[:2], 3)) == 0
+
+
+@pytest.mark.parametrize("size", [50, 60])
+def test_substrings_of_passages_whose_halves_are_frequent(spark, size):
+    """20 passages in two documents each, and parts of 42 words of them in 40 documents before both and 40 between: brute force over windows of 50 words finds 20 pairs, and so does the operator."""
+    rng = np.random.default_rng(17)
+    word = lambda n: [f"w{x}" for x in rng.integers(0, 10**6, n)]
+    texts = {}
+    for k in range(20):
+        shared = word(size)
+        for i in range(40):
+            texts[1000 * k + i] = word(30) + (shared[:42] if i % 2 else shared[-42:]) + word(30)
+            texts[1000 * k + 100 + i] = word(30) + (shared[-42:] if i % 2 else shared[:42]) + word(30)
+        texts |= {1000 * k + 50: word(20) + shared + word(40), 1000 * k + 200: word(35) + shared + word(25)}
+    first, want = {}, set()
+    for doc, words in sorted(texts.items()):
+        for i in range(len(words) - 49):
+            if (of := first.setdefault(tuple(words[i : i + 50]), doc)) != doc:
+                want.add((doc, of))
+    got = substrings.passages(spark, documents_of(spark, texts)).collect()
+    assert len(want) == 20 and {(r.doc_id, r.of_doc_id) for r in got} == want
+    assert all((r.first_word, r.n_words) == (35, size) for r in got)
+
+
 def test_substrings_passage_in_parts_of_two_documents(spark):
     """Of the 80 words that 3 repeats from 2, document 1 has the first 40: no part that is matched with one first occurrence has 50."""
     rng = np.random.default_rng(15)
@@ -548,6 +578,22 @@ def test_neighbours_odd_rows(spark):
     assert neighbours.search(spark, spark.createDataFrame([], kind)).count() == 0
 
 
+def test_neighbours_of_extreme_magnitudes(spark):
+    """Squares of these components overflow or vanish; cosines don't."""
+    plain = {0: [2.0, 1.0], 1: [1.0, 2.0], 2: [3.0, 1.0], 3: [-1.0, 1.0]}
+    rows = [(100 * i + k, [c * m for c in v], "x") for i, m in enumerate([1.0, 1e200, 1e-170, 2.0**-1060]) for k, v in plain.items()]
+    rows += [(1000, [1e308, 1e-308], "x")]
+    got = neighbours.search(spark, spark.createDataFrame(rows, "vec_id long, embedding array<double>, score string"), every=100, k=20).collect()
+    by = {(r.query_id, r.vec_id): r.score for r in got}
+    cos = lambda a, b: float(np.dot(a, b) / np.linalg.norm(a) / np.linalg.norm(b))
+    for q in (0, 100, 200, 300):
+        for i in range(4):
+            for k, v in plain.items():
+                if 100 * i + k != q:
+                    assert by[q, 100 * i + k] == pytest.approx(cos(plain[0], v), abs=1e-12)
+        assert by[q, 1000] == pytest.approx(cos(plain[0], [1, 0]), abs=1e-12)
+
+
 @pytest.mark.parametrize("n", [500, 2500, 9000])
 def test_neighbours_recall(spark, n):
     """Vectors without any structure, the hardest case, at several sizes."""
