@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import labels
-from ..operators import evaluation, nodes, rules, similarity, temporal, vectors
+from ..operators import evaluation, nodes, rolling, rules, similarity, temporal, vectors
 from ..sources import files
 from ..streaming import ledger
 
@@ -169,6 +169,19 @@ def last_n_per_group(spark, d):
     return rows.groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.avg("value"), 4).alias("mean"), F.min("ts").alias("from_ts"))
 
 
+def rolling_latency(spark, d):
+    """Percentiles of the last 50 values of its type at each event."""
+    rows = rolling.rolling_percentiles(_t(spark, d, "events"), "event_type", ["ts", "event_id"], "value", 50, {"p50": 0.5, "p95": 0.95, "p99": 0.99})
+    return rows.select("event_type", "event_id", "n", "p50", "p95", "p99")
+
+
+def rolling_users(spark, d):
+    """Of the last 100 events of its type at each event: distinct users, the first time and the highest value."""
+    frame = {"users": F.collect_set("user_id"), "since": F.min("ts"), "highest": F.max("value")}
+    rows = rolling.last_rows(_t(spark, d, "events"), "event_type", ["ts", "event_id"], 100, frame)
+    return rows.select("event_type", "event_id", F.size("users").cast("long").alias("users"), "since", "highest")
+
+
 def event_summary(spark, d):
     v = F.col("value")
     return _t(spark, d, "events").groupBy("event_type").agg(
@@ -288,7 +301,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         nested_flatten, assignment_explode, author_predicates, human_owners, issue_labels, issue_audit, closing_reference_match, duplicate_labels, threshold_override, event_routing, closed_payload,
-        text_cuts, time_parse, best_class, log_days, set_tests, customers_without_events, head_n_per_group, last_n_per_group, event_summary, live_rates, ledger_open, extreme_rows, user_report,
+        text_cuts, time_parse, best_class, log_days, set_tests, customers_without_events, head_n_per_group, last_n_per_group, rolling_latency, rolling_users, event_summary, live_rates, ledger_open, extreme_rows, user_report,
         similar_above_floor, max_prior_similarity, running_hits, assignment_decision, release_scan, pruned_labels, cost_probe, content_keys, char_term_counts, kind_counts, label_facets, positional_pairs,
     )
 }
@@ -332,6 +345,13 @@ SQL = {
     "customers_without_events": "SELECT c_custkey AS k FROM customer EXCEPT SELECT user_id FROM events WHERE value > 50",
     "head_n_per_group": "SELECT event_type, event_id, place::int AS place FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS place FROM events) WHERE place <= 20",
     "last_n_per_group": "SELECT event_type, count(*) AS n, round(avg(value), 4) AS mean, min(ts) AS from_ts FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS place FROM events) WHERE place <= 20 GROUP BY 1",
+    "rolling_latency": """
+        WITH frames AS (SELECT event_type, event_id, list_sort(list(value) FILTER (WHERE value IS NOT NULL) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN 49 PRECEDING AND CURRENT ROW)) AS f FROM events)
+        SELECT event_type, event_id, coalesce(len(f), 0) AS n, f[CAST(least(len(f) - 1, floor(len(f) * 0.5)) AS BIGINT) + 1] AS p50, f[CAST(least(len(f) - 1, floor(len(f) * 0.95)) AS BIGINT) + 1] AS p95,
+            f[CAST(least(len(f) - 1, floor(len(f) * 0.99)) AS BIGINT) + 1] AS p99 FROM frames""",
+    "rolling_users": """
+        SELECT event_type, event_id, count(DISTINCT user_id) OVER w AS users, min(ts) OVER w AS since, max(value) OVER w AS highest FROM events
+        WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN 99 PRECEDING AND CURRENT ROW)""",
     "event_summary": "SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS users, round(avg(value), 4) AS mean, round(stddev_samp(value), 4) AS std, min(value) AS least, max(value) AS most FROM events GROUP BY 1",
     "live_rates": f"""WITH g AS (SELECT key, arg_max(value, "at") FILTER (NOT o) AS score, max(value) FILTER (o) AS outcome FROM {_ROUNDS} GROUP BY key, round HAVING bool_or(o) AND bool_or(NOT o)),
         c AS (SELECT key % 10 AS shard, count(*) FILTER (outcome >= 50 AND score >= 50) AS tp, count(*) FILTER (outcome < 50 AND score >= 50) AS fp, count(*) FILTER (outcome >= 50 AND score < 50) AS fn, count(*) FILTER (outcome < 50 AND score < 50) AS tn FROM g GROUP BY 1)

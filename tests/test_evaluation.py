@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from lumenlake.functions import labels
-from lumenlake.operators import evaluation, metrics, models, prefix, rules, similarity, temporal, vectors
+from lumenlake.operators import evaluation, metrics, models, prefix, rolling, rules, similarity, temporal, vectors
 from lumenlake.plans import training
 from lumenlake.sources import files
 from lumenlake.streaming import ledger
@@ -179,3 +179,20 @@ def test_best_prior_loses_no_link(spark):
 def test_accents_fold(spark):
     df = spark.createDataFrame([("ÉÀñ ß ø ǎ ế é 日本",)], "t string")
     assert df.select(vectors.folded(F.lower("t"))).first()[0] == "ean ß ø a e e 日本"
+
+
+@pytest.mark.parametrize("last", [1, 3, 7])
+def test_rolling_frames_across_blocks(spark, last):
+    """Blocks of 4 rows, groups of null, null values and an extra column: frames equal a slice of the sorted rows."""
+    rng = np.random.default_rng(last)
+    rows = [(g, i, None if rng.random() < 0.3 else float(rng.integers(0, 9)), "x") for g in ("a", None, "b") for i in range({"a": 23, None: 9, "b": 1}[g])]
+    df = spark.createDataFrame(rows, "g string, at long, v double, n_rows string").repartition(5)
+    got = {(r.g, r["at"]): r for r in rolling.rolling_percentiles(df, "g", ["at"], "v", last, {"low": 0.0, "mid": 0.5, "high": 0.99}).collect()}
+    small = {(r.g, r["at"]): r.seen for r in rolling.last_rows(df, "g", ["at"], last, {"seen": F.collect_list("at")}, least_block=4).collect()}
+    assert len(got) == len(small) == len(rows)
+    for g, i, _, _ in rows:
+        frame = sorted(v for h, j, v, _ in rows if h == g and i - last < j <= i and v is not None)
+        at = lambda share: frame[min(len(frame) - 1, int(len(frame) * share))] if frame else None
+        assert (got[g, i].n, got[g, i].low, got[g, i].mid, got[g, i].high, got[g, i].n_rows) == (len(frame), at(0.0), at(0.5), at(0.99), "x")
+        assert small[g, i] == list(range(max(0, i - last + 1), i + 1))
+    assert rolling.rolling_percentiles(df.limit(0), "g", ["at"], "v", last, {"mid": 0.5}).count() == 0
