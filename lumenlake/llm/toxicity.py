@@ -1,12 +1,12 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
 Words are mapped to classes. Five small transducers read the classes of a clause: one writes insults, one writes threats (a
-threatening verb with an object after it, or an addressee and a word of the future before it), one guesses whether the clause is aimed at
+threatening verb with an object after it, or an addressee and a word of the future, in any order, before it), one guesses whether the clause is aimed at
 someone, one follows the scope of negation, one reported speech. They are composed into one machine; of its paths through a clause the
 one whose guesses come true is accepted, and what it has written are the matched clauses, each of a type (insult or threat, aimed,
 negated, reported) with the weight of its word. A word alone matches nothing. The score is a logistic function of the sums of weights by type.
 The lexicon of insults (words, and stems as word beginnings) and the weights of clause types are learned from labels, on a bounded sample: at
-most MAX_TRAIN labelled rows, those with the smallest hash of doc_id; of the entries that it gives, the MAX_LEXICON weightiest are used.
+most MAX_TRAIN labelled rows, those with the smallest hash of doc_id; all entries that reach MIN_TOXIC and MIN_WEIGHT in it are used.
 """
 
 from __future__ import annotations
@@ -24,7 +24,6 @@ from pyspark.sql import functions as F
 from .common import Memo, small_batches, table
 
 MAX_TRAIN = 8000
-MAX_LEXICON = 4000
 STEMS = (4, 5, 6, 7, 8)
 MIN_TOXIC, MIN_WEIGHT = 4, 1.5
 
@@ -70,18 +69,19 @@ def _insult(q, c):
 
 
 def _threat(q, c):
-    """Writes threats. States: what came before (nothing, addressee, future after it) and what is owed: "" nothing, "+" an object, "-" that none comes."""
+    """Writes threats. States: what came before ("" nothing, "a" an addressee, "f" a word of the future, "af" both; an object after the future
+    counts as an addressee) and what is owed: "" nothing, "+" an object, "-" that none comes."""
     before, owed = q
     if c == THREAT:
-        if before == 2:
+        if before == "af":
             return [((before, owed), THREAT)]
         return [((before, "-"), None)] if owed == "-" else [((before, "+"), THREAT), *([((before, "-"), None)] if owed == "" else [])]
     if c in (ADDRESSEE, OBJECT):
         if owed == "-":
             return []
-        return [((1 if c == ADDRESSEE else before, ""), None)]
-    if c == FUTURE and before == 1:
-        return [((2, owed), None)]
+        return [(("af" if "f" in before else "a" if c == ADDRESSEE else before, ""), None)]
+    if c == FUTURE:
+        return [(("af" if "a" in before else "f", owed), None)]
     return [(q, None)]
 
 
@@ -109,7 +109,7 @@ def _report(q, c):
 
 PARTS = (
     Transducer((0, ""), _insult, lambda q: q[1] != "+"),
-    Transducer((0, ""), _threat, lambda q: q[1] != "+"),
+    Transducer(("", ""), _threat, lambda q: q[1] != "+"),
     Transducer("", _aim, lambda q: q != "?"),
     Transducer(0, _negation),
     Transducer(0, _report, after_pause=lambda q: q),
@@ -258,7 +258,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, float], np.ndar
     total = counts.where("item = ''").first()
     n1, n0 = (total.n1, total.n0) if total else (0, 0)
     weight = F.log((F.col("n1") + 0.2) / F.lit(n1 + 1.0)) - F.log((F.col("n0") + 0.5) / F.lit(n0 + 1.0)) - 1.0 / F.sqrt("n1")
-    rows = counts.where("item <> ''").withColumn("weight", weight).where(F.col("weight") >= MIN_WEIGHT).orderBy(F.desc(F.col("weight") * F.sqrt("n1")), "item").limit(MAX_LEXICON).collect()
+    rows = counts.where("item <> ''").withColumn("weight", weight).where(F.col("weight") >= MIN_WEIGHT).collect()  # entries of at most MAX_TRAIN texts
     lexicon = {r.item: float(r.weight) for r in rows}
 
     def clauses(batches):

@@ -127,6 +127,10 @@ def test_toxicity_clauses():
     assert types("I will kill you") == {12: 2.0} and types("they kill time") == {} and types("you will burn") == {12: 2.0}
     assert types("kill and hurt them") == {12: 4.0} and types("I never hurt you") == {14: 2.0} and types("hurt you, kill time") == {12: 2.0}
     assert types("you idiot. I kill you, you idiot") == {4: 8.0, 12: 2.0}
+    for threat in ("I am going to kill you", "ich werde dich töten", "je vais te tuer", "te voy a matar", "ich werde ihn schlagen"):
+        assert types(threat) == {12: 2.0}, threat
+    for harmless in ("ich werde töten", "je vais tuer le temps", "voy a matar el tiempo", "dich töten", "I will, you kill"):
+        assert types(harmless) == {}, harmless
 
 
 def test_toxicity_paths():
