@@ -52,6 +52,15 @@ def per_class(df: DataFrame, truth: str, predicted: str) -> DataFrame:
     return out.withColumn("macro_f1", F.avg("f1").over(Window.partitionBy()))  # one row per class
 
 
+def macro_f1(df: DataFrame, truth: str, predicted: str, group: str) -> DataFrame:
+    """group, macro_f1: the mean F1 over the classes that occur in the group, as truth or as prediction."""
+    pairs = df.groupBy(group, F.col(truth).alias("_t"), F.col(predicted).alias("_p")).agg(F.count("*").alias("_n"))
+    sides = pairs.withColumn("_class", F.explode(F.array_distinct(F.array("_t", "_p"))))
+    total = lambda c: F.sum(F.when(c, F.col("_n")).otherwise(0))
+    is_t, is_p = F.col("_t") == F.col("_class"), F.col("_p") == F.col("_class")
+    return sides.groupBy(group, "_class").agg(f1_of(total(is_t & is_p), total(~is_t & is_p), total(is_t & ~is_p)).alias("_f1")).groupBy(group).agg(F.avg("_f1").alias("macro_f1"))
+
+
 def reliability(df: DataFrame, label: str, score: str, bins: int = 10) -> DataFrame:
     """bin, n, mean_score, rate: bins between exact quantiles of the score; a score on an edge is in the lower bin."""
     per = df.groupBy(F.col(score).alias("s")).agg(F.count("*").alias("n"), F.sum(label).alias("pos"))

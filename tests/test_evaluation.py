@@ -196,3 +196,58 @@ def test_rolling_frames_across_blocks(spark, last):
         assert (got[g, i].n, got[g, i].low, got[g, i].mid, got[g, i].high, got[g, i].n_rows) == (len(frame), at(0.0), at(0.5), at(0.99), "x")
         assert small[g, i] == list(range(max(0, i - last + 1), i + 1))
     assert rolling.rolling_percentiles(df.limit(0), "g", ["at"], "v", last, {"mid": 0.5}).count() == 0
+
+
+def test_macro_f1_by_group(spark):
+    rng = np.random.default_rng(5)
+    rows = [(g, int(t), int(t) if rng.random() < 0.6 else int(rng.integers(0, 4))) for g in ("a", "b", None) for t in rng.integers(0, 3, 60)]
+    got = {r.g: r.macro_f1 for r in evaluation.macro_f1(spark.createDataFrame(rows, "g string, t int, p int"), "t", "p", "g").collect()}
+    for g in ("a", "b", None):
+        pairs = [(t, p) for h, t, p in rows if h == g]
+        f1 = [2 * sum(t == p == c for t, p in pairs) / (sum(t == c for t, _ in pairs) + sum(p == c for _, p in pairs)) for c in {x for pair in pairs for x in pair}]
+        assert got[g] == pytest.approx(sum(f1) / len(f1))
+
+
+def _two_features(spark, n, classes=3):
+    rng = np.random.default_rng(n)
+    return spark.createDataFrame([(i, 1, i % classes, float(rng.normal(i % classes)), float(rng.normal(-(i % classes)))) for i in range(n)], "id long, all int, y int, a double, b double")
+
+
+def test_selection_equals_separate_fits(spark):
+    folds = temporal.walk_forward(_two_features(spark, 300), "all", ["id"], 2, 0.2).cache()
+    got = {r.model: r for r in models.select_classes(folds, ["a", "b"], "y").collect()}
+    assert set(got) == {"logistic", "logistic_balanced", "forest_balanced"} and sum(r.chosen for r in got.values()) == 1
+    alone = []
+    for k in (0, 1):
+        train = models.balanced(folds.where((F.col("fold") == k) & (F.col("part") == "train")), "y")
+        seen = models.predictions(models.fit(train, ["a", "b"], models.candidates("y")["logistic"]), folds.where((F.col("fold") == k) & (F.col("part") == "validation")), "p")
+        alone.append(evaluation.per_class(seen.withColumn("p", F.col("p").cast("int")), "y", "p").first().macro_f1)
+    assert got["logistic"].folds == 2 and got["logistic"].mean_f1 == pytest.approx(np.mean(alone)) and got["logistic"].std_f1 == pytest.approx(np.std(alone))
+    ranks = models.select_regression(folds.withColumn("t", F.col("y").cast("double")), ["a", "b"], "t").collect()
+    assert {r.model for r in ranks} == {"ridge", "forest"} and all(r.folds == 2 and r.mean_rank > 0.4 for r in ranks) and sum(r.chosen for r in ranks) == 1
+
+
+def test_sigmoids_need_all_classes(spark):
+    df = _two_features(spark, 300)
+    model = models.fit(models.balanced(df, "y"), ["a", "b"], models.candidates("y")["logistic_balanced"])
+    assert models.sigmoids(model, df, df.where("y < 2"), "y") is None
+    plain = [r.probabilities for r in models.class_probabilities(model, df, None).orderBy("id").collect()]
+    curves = models.sigmoids(model, df, df, "y")
+    fine = [r.probabilities for r in models.class_probabilities(model, df, curves).orderBy("id").collect()]
+    assert len(curves) == 3 and np.allclose(np.sum(fine, axis=1), 1) and np.allclose(np.sum(plain, axis=1), 1)
+    want = 1 / (1 + np.exp(-(np.array(plain) * [a for a, _ in curves] + [b for _, b in curves])))
+    assert np.allclose(fine, want / want.sum(axis=1, keepdims=True))
+
+
+def test_models_are_saved_with_a_digest(spark, tmp_path):
+    df = _two_features(spark, 100, 2)
+    model = models.fit(models.balanced(df, "y"), ["a", "b"], models.candidates("y")["logistic"])
+    path = f"file://{tmp_path}/model"
+    found = models.save(spark, model, path)
+    assert found == models.digest(spark, path) and len(found) == 64
+    assert models.scores(models.load(spark, path), df).orderBy("id").collect() == models.scores(model, df).orderBy("id").collect()
+    part = next(p for p in (tmp_path / "model").rglob("part-*") if "metadata" in str(p))
+    part.write_text(part.read_text().replace("Pipeline", "pipeline", 1))
+    (part.parent / f".{part.name}.crc").unlink(missing_ok=True)
+    with pytest.raises(ValueError):
+        models.load(spark, path)
