@@ -208,3 +208,15 @@ def explanations(model: PipelineModel, df: DataFrame, key: str, columns: list[st
     ordered = F.array_sort(F.transform(pairs, lambda p: F.struct((-F.abs(p.c)).alias("less"), p.f.alias("feature"), p.c.alias("contribution"))))
     found = model.transform(df).select(key, F.posexplode(F.slice(ordered, 1, k)).alias("at", "p"))
     return found.select(key, (F.col("at") + 1).alias("rank"), "p.feature", "p.contribution")
+
+
+def importances(model: PipelineModel, df: DataFrame, key: str, columns: list[str], k: int = 6) -> DataFrame:
+    """key, rank, feature, importance: of the features that are not 0 in the row, the k that a forest gives most importance, ties in order of columns.
+
+    The importance is the whole forest's: a size without direction. Features without importance are left out, so a row may have fewer than k, or none.
+    """
+    weights = [float(x) for x in model.stages[-1].featureImportances.toArray()]
+    pairs = F.arrays_zip(F.array(*map(F.lit, columns)).alias("f"), F.array(*map(F.lit, weights)).alias("w"), F.array(*map(F.lit, range(len(columns)))).alias("i"), vector_to_array("features").alias("x"))
+    active = F.transform(F.filter(pairs, lambda p: (p.x != 0) & (p.w > 0)), lambda p: F.struct((-p.w).alias("less"), p.i.alias("place"), p.f.alias("feature"), p.w.alias("importance")))
+    found = model.transform(df).select(key, F.posexplode(F.slice(F.array_sort(active), 1, k)).alias("at", "p"))
+    return found.select(key, (F.col("at") + 1).alias("rank"), "p.feature", "p.importance")

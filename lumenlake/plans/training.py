@@ -89,4 +89,11 @@ def linear_explanations(spark, d):
     return models.explanations(model, frame, "doc_id", COLUMNS, 3)
 
 
-QUERIES = {f.__name__: f for f in (model_selection, class_selection, effort_selection, calibrated_scores, class_calibration, effort_regression, linear_explanations, reloaded_scores)}
+def forest_explanations(spark, d):
+    """The three most important features that a text has, by the forest for quality."""
+    frame = _frame(spark, d)
+    model = models.fit(models.balanced(frame, "quality"), COLUMNS, models.candidates("quality")["forest_balanced"])
+    return models.importances(model, frame, "doc_id", COLUMNS, 3)
+
+
+QUERIES = {f.__name__: f for f in (model_selection, class_selection, effort_selection, calibrated_scores, class_calibration, effort_regression, linear_explanations, forest_explanations, reloaded_scores)}

@@ -251,3 +251,16 @@ def test_models_are_saved_with_a_digest(spark, tmp_path):
     (part.parent / f".{part.name}.crc").unlink(missing_ok=True)
     with pytest.raises(ValueError):
         models.load(spark, path)
+
+
+def test_importances_of_active_features(spark):
+    df = _two_features(spark, 200, 2).withColumn("b", F.when(F.col("id") % 3 == 0, 0.0).otherwise(F.col("b"))).withColumn("c", F.lit(1.0))
+    columns = ["a", "b", "c"]
+    model = models.fit(models.balanced(df, "y"), columns, models.candidates("y")["forest_balanced"])
+    weights = model.stages[-1].featureImportances.toArray()
+    got = {(r.id, r["rank"]): (r.feature, r.importance) for r in models.importances(model, df, "id", columns, 2).collect()}
+    want = {}
+    for r in df.collect():
+        active = sorted((-w, i) for i, (c, w) in enumerate(zip(columns, weights)) if r[c] != 0 and w > 0)[:2]
+        want |= {(r.id, k): (columns[i], -less) for k, (less, i) in enumerate(active, 1)}
+    assert got == want and {f for f, _ in got.values()} == {"a", "b"}
