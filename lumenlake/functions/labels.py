@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-BLANK = " \t\n\r\f\u000b"
+#: All white space, beyond ASCII too.
+BLANK = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 
 
 def normal(labels: Column) -> Column:

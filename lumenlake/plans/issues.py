@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import labels
+from ..functions import keys, labels
 from ..operators import evaluation, nodes, rolling, rules, similarity, temporal, vectors
 from ..sources import files
 from ..streaming import ledger
@@ -269,8 +269,7 @@ def cost_probe(spark, d):
 
 def content_keys(spark, d):
     """The key of a cached answer: SHA-256 of its arguments in order of their names."""
-    key = F.to_json(F.struct(F.col("event_id").alias("a"), F.col("event_type").alias("b")))
-    return _t(spark, d, "events").select("event_id", F.sha2(key, 256).alias("key"))
+    return _t(spark, d, "events").select("event_id", keys.content_key({"b": F.col("event_type"), "a": F.col("event_id")}).alias("key"))
 
 
 def char_term_counts(spark, d):

@@ -1,9 +1,11 @@
 """Hand-computed cases of evaluation, labels, files and models."""
 
+import hashlib
+
 import numpy as np
 import pytest
 
-from lumenlake.functions import labels
+from lumenlake.functions import keys, labels
 from lumenlake.operators import evaluation, metrics, models, prefix, rolling, rules, similarity, temporal, vectors
 from lumenlake.plans import training
 from lumenlake.sources import files
@@ -264,3 +266,15 @@ def test_importances_of_active_features(spark):
         active = sorted((-w, i) for i, (c, w) in enumerate(zip(columns, weights)) if r[c] != 0 and w > 0)[:2]
         want |= {(r.id, k): (columns[i], -less) for k, (less, i) in enumerate(active, 1)}
     assert got == want and {f for f, _ in got.values()} == {"a", "b"}
+
+
+def test_labels_lose_all_white_space(spark):
+    df = spark.createDataFrame([(["\u00a0Bug\u3000", "\u2003**Docs\x1f", "a\u00a0b", None],)], "x array<string>")
+    assert tuple(df.select(labels.plain(F.col("x")), labels.normal(F.col("x"))).first()) == (["bug", "**docs", "a\u00a0b", ""], ["bug", "docs", "a\u00a0b", ""])
+
+
+def test_content_key(spark):
+    df = spark.createDataFrame([(1, "x", None)], "a int, b string, c string")
+    made = [keys.content_key({n: F.col(n) for n in order}) for order in ("abc", "cba", "ab")]
+    one, two, less = df.select(*[k.alias(f"k{i}") for i, k in enumerate(made)]).first()
+    assert one == two == hashlib.sha256(b'{"a":1,"b":"x","c":null}').hexdigest() != less
