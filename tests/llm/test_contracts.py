@@ -570,6 +570,19 @@ def test_substrings_odd_rows(spark):
     assert left == Counter(cut) and substrings.remove(spark, docs).columns == docs.columns
 
 
+def test_substrings_windows_on_odd_rows(spark):
+    """Frequent seeds in every text: an empty table, columns named like the operator's own, repeated rows, null ids, and one very long text."""
+    rng = np.random.default_rng(29)
+    word = lambda n: [f"w{x}" for x in rng.integers(0, 10**6, n)]
+    line, shared = word(30), word(20)
+    rows = [(i, word(25) + line + word(25)) for i in range(40)] + [(50, word(9) + line + shared + word(9)), (60, word(20_000) + line + shared + word(20_000))]
+    rows += [(60, rows[-1][1]), (None, line + shared), (61, line)]
+    docs = spark.createDataFrame([(i, " ".join(t), 1, True, 0, "c") for i, t in rows], "doc_id long, text string, window long, asked boolean, h int, seeds string")
+    got = {(r.doc_id, r.of_doc_id, r.first_word, r.n_words) for r in substrings.passages(spark, docs).collect()}
+    assert got == {(60, 50, 20_000, 50)}
+    assert substrings.passages(spark, docs.limit(0)).count() == 0 and substrings.remove(spark, docs.limit(0)).columns == docs.columns
+
+
 def test_neighbours_odd_rows(spark):
     rows = [(0, [1.0, 0.0], 1), (0, [1.0, 0.0], 1), (50, [0.0, 1.0], 1), (50, [1.0, 0.1], 1), (3, [1.0, 0.2], 1), (3, [1.0, 0.3], 2), (4, [2.0, 0.4], 2), (None, [1.0, 0.0], 3), (5, [1.0, 0.0, 0.0], 3)]
     kind = "vec_id long, embedding array<float>, rank int"
