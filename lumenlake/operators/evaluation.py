@@ -10,6 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.files import stored
 from .prefix import running_sums
 from .temporal import ranked
 
@@ -106,6 +107,7 @@ def order_statistics(df: DataFrame, value: str, group: str, places: dict[str, Ca
     """
     rows = df.where(F.col(value).isNotNull()).select(F.col(group).alias("g"), F.col(value).alias("v"))
     edges = rows.groupBy("g").agg(F.percentile_approx("v", [k / 100 for k in range(1, 100)], 1000).alias("edges"), F.count("*").alias("n"))
+    edges = stored(edges, "edges")  # approximate quantiles differ from run to run: counts and rows need the same
     ranged = rows.join(edges.withColumnRenamed("g", "_g"), F.col("g").eqNullSafe(F.col("_g"))).select("g", "v", "n", F.size(F.filter("edges", lambda e: e < F.col("v"))).alias("range"))
     counts = ranged.groupBy("g", "n", "range").agg(F.count("*").alias("c")).withColumn("before", F.sum("c").over(Window.partitionBy("g").orderBy("range")) - F.col("c"))
     wanted = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), at(F.col("n")).cast("long").alias("place")) for name, at in places.items()]))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.files import stored
+
 #: A group's values are dealt to about so many ranges.
 RANGES = 100
 
@@ -12,7 +14,7 @@ RANGES = 100
 def ranged(df: DataFrame, group: str, by: str, ranges: int = RANGES) -> DataFrame:
     """Adds _range: how many of the group's approximate quantiles lie below the value. Equal values share a range; groups of null are kept."""
     shares = [k / ranges for k in range(1, ranges)]
-    edges = df.groupBy(F.col(group).alias("_g")).agg(F.percentile_approx(by, shares, 20 * ranges).alias("_edges"))
+    edges = stored(df.groupBy(F.col(group).alias("_g")).agg(F.percentile_approx(by, shares, 20 * ranges).alias("_edges")), "edges")  # approximate quantiles differ from run to run: all readers need the same
     return df.join(edges, F.col(group).eqNullSafe(F.col("_g"))).withColumn("_range", F.size(F.filter("_edges", lambda e: e < F.col(by)))).drop("_g", "_edges")
 
 
