@@ -9,7 +9,7 @@ its subphrases occur as often.
 Which phrases have reached the threshold is held in a Bloom filter of a fixed number of bits (at most MAX_BITS, so its broadcast is bounded). Bits are
 only added, so a phrase is active from the first step at which the filter holds both subphrases, for all tasks alike; it is
 active at a step if the filter holds them now and did not SHARDS steps ago. A phrase that the filter holds by mistake is counted and then
-dropped, as it does not occur often enough. Phrases are counted by 64-bit hashes; those found are then counted by
+dropped, as it does not occur often enough. Phrases are counted by KEY_BITS of their 64-bit hashes; those found are then counted by
 their words, so no result rests on a hash.
 """
 
@@ -23,6 +23,7 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from .common import discard, materialize, new_path, small_batches, table, utf8
 
@@ -36,6 +37,10 @@ INSIDE = 80
 CHUNK = 3 << 19
 #: Bits of the filter: an eighth of the number of words, as a power of two, between these.
 MIN_BITS, MAX_BITS = 1 << 16, 1 << 29
+#: Of a phrase's hash, so many bits are shuffled and counted. Phrases that share them are counted as one, so the filter holds a few more.
+KEY_BITS = 48
+#: 64-bit words in a block of the filter.
+BLOCK = 1 << 13
 
 BORDER = b"."
 BORDERS = bytes.maketrans(b".,;:!?\n\x0b\x0c\r", BORDER * 10)
@@ -114,7 +119,8 @@ class Filter:
         self.bits, self.mask = bits, np.uint64(8 * len(bits) - 1)
 
     def places(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return (keys & self.mask).astype(np.int64), (keys >> np.uint64(64 - 29) & self.mask).astype(np.int64)
+        keys = keys >> np.uint64(64 - KEY_BITS)
+        return (keys & self.mask).astype(np.int64), (keys >> np.uint64(KEY_BITS - int(self.mask).bit_length()) & self.mask).astype(np.int64)
 
     def holds(self, keys: np.ndarray) -> np.ndarray:
         p, q = self.places(keys)
@@ -151,19 +157,29 @@ def scanned(chunked: DataFrame, step: int, now, before) -> DataFrame:
                     found.append(key[~np.isin(at, past, assume_unique=True)] if len(past) else key)
                 elif step < SHARDS:
                     found.append(key)
-            distinct, counts = np.unique(np.concatenate(found), return_counts=True)
+            distinct, counts = np.unique(np.concatenate(found) >> np.uint64(64 - KEY_BITS), return_counts=True)
             yield pd.DataFrame({"key": distinct.view(np.int64), "n": counts})
 
     return chunked.select("tokens", "words", "lang_of", "langs").mapInPandas(of, "key long, n long")
 
 
+@F.pandas_udf(BinaryType())
+def _block(words: pd.Series, bits: pd.Series) -> bytes:
+    out = np.zeros(BLOCK, np.uint64)
+    out[words.to_numpy(np.int64) % BLOCK] = bits.to_numpy(np.int64).view(np.uint64)
+    return out.tobytes()
+
+
 def added(keys: DataFrame, bits: np.ndarray) -> np.ndarray:
-    """The filter with the keys. At most a row for each 64 bits of it comes to the driver."""
+    """The filter with the keys. Its blocks are put together by tasks and come to the driver as bytes, a partition at a time: never more than the filter."""
     mask = 8 * len(bits) - 1
-    places = F.explode(F.array(F.col("key").bitwiseAND(F.lit(mask)), F.shiftrightunsigned("key", 64 - 29).bitwiseAND(F.lit(mask))))
-    rows = keys.select(places.alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits")).toPandas()
+    places = F.explode(F.array(F.col("key").bitwiseAND(F.lit(mask)), F.shiftrightunsigned("key", KEY_BITS - mask.bit_length()).bitwiseAND(F.lit(mask))))
+    words = keys.select(places.alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits"))
+    blocks = words.groupBy(F.floor(F.col("word") / BLOCK).alias("block")).agg(_block("word", "bits").alias("bits"))
     out = bits.copy().view(np.uint64)
-    np.bitwise_or.at(out, rows.word.to_numpy(np.int64), rows.bits.to_numpy(np.int64).view(np.uint64))
+    for row in blocks.toLocalIterator():
+        part = out[row.block * BLOCK : (row.block + 1) * BLOCK]
+        part |= np.frombuffer(row.bits, np.uint64)[: len(part)]
     return out.view(np.uint8)
 
 
@@ -178,13 +194,15 @@ def frequent(chunked: DataFrame, at_least: int = AT_LEAST) -> np.ndarray:
     carried, step = None, 0
     shared = {}
     while step < SHARDS or (history[-1] != history[0]).any():
+        for gone in set(shared) - {id(bits) for bits in history}:
+            shared.pop(gone)[1].destroy()
         for bits in (history[-1], history[0]):
             if id(bits) not in shared:
-                shared[id(bits)] = context.broadcast(bits)
-        new = scanned(chunked.where(F.col("shard") == step % SHARDS), step, shared[id(history[-1])], shared[id(history[0])])
+                shared[id(bits)] = bits, context.broadcast(bits)
+        new = scanned(chunked.where(F.col("shard") == step % SHARDS), step, shared[id(history[-1])][1], shared[id(history[0])][1])
         rows = new.withColumn("since", F.lit(step))
         rows = rows.unionByName(carried) if carried is not None else rows
-        counts = materialize(rows.groupBy("key").agg(F.sum("n").alias("n"), F.min("since").alias("since")), "counts")
+        counts = materialize(rows.groupBy("key").agg(F.sum("n").alias("n"), F.min("since").alias("since")), "counts", "zstd")
         if carried is not None:
             discard(before)
         # what was not yet counted often enough goes on until its cycle ends
@@ -194,7 +212,7 @@ def frequent(chunked: DataFrame, at_least: int = AT_LEAST) -> np.ndarray:
         if (history[-1] == history[-2]).all():
             history[-1] = history[-2]
     discard(before)
-    for sent in shared.values():
+    for _, sent in shared.values():
         sent.destroy()
     return history[-1]
 
@@ -262,7 +280,7 @@ def phrase_counts(spark: SparkSession, docs: DataFrame, at_least: int = AT_LEAST
     small_batches(spark)
     path = new_path(spark, "chunks")
     chunked = chunks(docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text"))
-    chunked.write.partitionBy("shard").parquet(path)
+    chunked.write.partitionBy("shard").parquet(path, compression="zstd")
     chunked = spark.read.schema(chunked.schema).parquet(path)
     found = materialize(counted(chunked, frequent(chunked, at_least)), "phrases")
     discard(chunked)

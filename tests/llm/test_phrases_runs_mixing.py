@@ -224,3 +224,20 @@ def test_mixture(spark):
     copies = mixing.mix(spark, mixing.sized(docs)).agg(F.sum("copies")).first()[0]
     rows = Counter((r.doc_id, r.text, r.lang, r.source) for r in mixed.collect())
     assert sum(rows.values()) == copies and set(rows) <= set(ODD)
+
+
+def test_filter_comes_to_the_driver_in_blocks(spark, monkeypatch):
+    from pyspark.sql import functions as F
+    from pyspark.sql.classic.dataframe import DataFrame as Classic
+
+    def whole(self, *_):
+        raise AssertionError("the words of the filter were collected as rows")
+
+    monkeypatch.setattr(Classic, "toPandas", whole)
+    monkeypatch.setattr(Classic, "collect", whole)
+    keys = np.array([0, 1, (1 << 48) - 1, 123456789012345, 1 << 29, 1 << 19, 77 << 40], np.uint64)
+    table = spark.createDataFrame([(int(k),) for k in keys], "key long")
+    for log in (16, 20, 23):
+        held = phrases.Filter(phrases.added(table.select(F.col("key")), np.zeros(1 << log - 3, np.uint8)))
+        assert held.holds(keys << np.uint64(64 - 48)).all()
+        assert np.unpackbits(held.bits).sum() <= 2 * len(keys)
