@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import join_classes, materialize, small_batches, table, utf8
+from .common import discard, join_classes, materialize, small_batches, table, utf8
 
 SHINGLE = 3
 THRESHOLD = 3
@@ -96,24 +96,26 @@ def links(fps: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     home = posts(fps, home_only=True).withColumnRenamed("fp", "a")
     all_ = posts(fps).withColumnRenamed("fp", "b")
     close = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= threshold)
-    return home.join(all_, (home.anchor == all_.anchor) & close).select("a", "b").distinct()
+    return home.join(all_.hint("merge"), (home.anchor == all_.anchor) & close).select("a", "b").distinct()
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """node, root (the smallest node reachable) for every node of an edge, by alternating large and small stars.
 
-    Each round pre-aggregates minima before the shuffle and is written to the shared folder.
+    Each round pre-aggregates minima before the shuffle and is written to the shared folder; what the round before wrote goes.
+    Joins are merges: below Spark's threshold each round would broadcast its minima through the driver, which keeps them for long.
     """
     edges = materialize(edges.select(F.col("a").alias("u"), F.col("b").alias("v")), "edges")
     before = None
     for _ in range(rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = both.where("v > u").join(low.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         low = down.groupBy("u").agg(F.min("v").alias("m"))
-        small = down.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        edges = materialize(small, "edges")
+        small = down.join(low.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
+        previous, edges = edges, materialize(small, "edges")
+        discard(previous)
         now = edges.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long"))).first()
         if now == before:
             break
@@ -134,7 +136,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
     rows = materialize(fingerprints(docs), "fingerprints")
     fps = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "distinct")
     roots = components(links(fps))
-    grouped = materialize(fps.join(roots, fps.fp == roots.node, "left").select("fp", "first", "n", F.coalesce("root", "fp").alias("root")), "roots")
+    grouped = materialize(fps.join(roots.hint("merge"), fps.fp == roots.node, "left").select("fp", "first", "n", F.coalesce("root", "fp").alias("root")), "roots")
     least = grouped.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("m"))
     classes = materialize(join_classes(grouped, least, "root", "m", fps.count()).select("fp", "n", "component_id"), "classes")
     return join_classes(rows, classes, "fp", "n", rows.count()).select("doc_id", "fp", "component_id")

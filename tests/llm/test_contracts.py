@@ -625,3 +625,17 @@ def test_neighbours_recall(spark, n):
         found += len({r.vec_id for r in got if r.query_id == q} & {*np.argsort(-s)[:5].tolist()})
         total += 5
     assert found / total >= 0.9, found / total
+
+
+def test_components_broadcast_nothing(spark, monkeypatch):
+    plans = []
+    plain = simhash.materialize
+
+    def watched(df, tag, *codec):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return plain(df, tag, *codec)
+
+    monkeypatch.setattr(simhash, "materialize", watched)
+    found = {r.node: r.root for r in simhash.components(spark.createDataFrame([(i, i + 1) for i in range(20)] + [(30, 40), (40, 35)], "a long, b long")).collect()}
+    assert found == {**{i: 0 for i in range(21)}, **{i: 30 for i in (30, 35, 40)}}
+    assert not [p for p in plans if "Broadcast" in p]
