@@ -278,3 +278,20 @@ def test_content_key(spark):
     made = [keys.content_key({n: F.col(n) for n in order}) for order in ("abc", "cba", "ab")]
     one, two, less = df.select(*[k.alias(f"k{i}") for i, k in enumerate(made)]).first()
     assert one == two == hashlib.sha256(b'{"a":1,"b":"x","c":null}').hexdigest() != less
+
+
+def test_blocks_of_queries_and_rows_are_multiplied(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    vectors = [[float(x) for x in rng.normal(size=6)] for _ in range(40)]
+    odd = [None, [0.0] * 6, [1.0, 2.0], [1.0, None, 0.0, 0.0, 0.0, 0.0], [float("nan")] * 6]
+    rows = [(i, None if i % 7 == 0 else i % 3, [*vectors, *odd][i * 11 % 45] if i % 4 else vectors[0]) for i in range(240)]
+    df = spark.createDataFrame(rows, "id long, g int, v array<double>")
+    asked = df.where("id % 2 = 0")
+    for group, k, floor in (("g", 3, 0.1), (None, 5, None), ("g", 4, None), (None, 100, None)):
+        run = lambda: sorted(map(str, similarity.top_similar(asked, df, group, k, floor).collect()))  # noqa: E731, B023
+        with monkeypatch.context() as m:
+            small = run()
+            m.setattr(similarity, "MAX_BROADCAST", 50)
+            m.setattr(similarity, "BATCH", 16)
+            assert run() == small
+            assert "Join" not in similarity.top_similar(asked, df, group, k, floor)._jdf.queryExecution().executedPlan().toString()
