@@ -295,3 +295,17 @@ def test_blocks_of_queries_and_rows_are_multiplied(spark, monkeypatch):
             m.setattr(similarity, "BATCH", 16)
             assert run() == small
             assert "Join" not in similarity.top_similar(asked, df, group, k, floor)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_terms_are_counted_where_their_row_is(spark):
+    from lumenlake.operators import vectors
+
+    rows = [(1, "Été in the red red House"), (2, "red house, red"), (3, None), (4, "x"), (5, "the red house is red")]
+    docs = spark.createDataFrame(rows, "k long, text string")
+    for stop, fold in (((), False), (("the", "in"), True)):
+        plain = vectors.terms(docs, "k", "text", stop, fold).groupBy("k", "term").agg(F.count("*").alias("tf"))
+        assert sorted(map(tuple, vectors.counted_in_place(docs, "k", "text", stop, fold).collect())) == sorted(map(tuple, plain.collect()))
+    found = vectors.tf_idf(docs, "k", "text", 2, 10)
+    assert "hashpartitioning(k#" in (plan := found._jdf.queryExecution().executedPlan().toString()) and ", term#" not in "".join(x for x in plan.splitlines() if "hashpartitioning(k#" in x)
+    twice = vectors.tf_idf(docs.unionByName(docs), "k", "text", 2, 10).groupBy("k", "term").count()  # rows with one key are one text
+    assert twice.where("count > 1").isEmpty() and twice.count() == found.count() > 0
