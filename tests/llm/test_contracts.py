@@ -431,6 +431,47 @@ def test_substrings_of_passages_whose_halves_are_frequent(spark, size):
     assert all((r.first_word, r.n_words) == (35, size) for r in got)
 
 
+def test_substrings_of_edited_passages_whose_seeds_are_frequent(spark):
+    """20 passages of 60 words in two documents each, the middle word changed in the second, so no window of 50 words is equal; all seeds are in 80 other documents, in parts of 42 words."""
+    rng = np.random.default_rng(23)
+    word = lambda n: [f"w{x}" for x in rng.integers(0, 10**6, n)]
+    texts, want = {}, set()
+    for k in range(20):
+        shared = word(60)
+        for i in range(40):
+            texts[1000 * k + i] = word(30) + (shared[:42] if i % 2 else shared[-42:]) + word(30)
+            texts[1000 * k + 100 + i] = word(30) + (shared[-42:] if i % 2 else shared[:42]) + word(30)
+        texts |= {1000 * k + 50: word(20) + shared + word(40), 1000 * k + 200: word(35) + shared[:30] + ["changed"] + shared[31:] + word(25)}
+        want.add((1000 * k + 200, 1000 * k + 50, 35, 60))
+    got = {(r.doc_id, r.of_doc_id, r.first_word, r.n_words) for r in substrings.passages(spark, documents_of(spark, texts)).collect()}
+    assert want <= got
+
+def test_substrings_partners_against_all_pairs():
+    """Occurrences of one seed in a line of 24 words: each x meets an earlier y that align finds a passage over the seed with, if there is one."""
+    rng = np.random.default_rng(29)
+    word = lambda n: rng.integers(0, 3000, n).astype(np.uint32) * np.uint32(2654435761)
+    line, some = word(24), [word(160) for _ in range(6)]
+    made = []
+    for i in range(160):
+        left, right = (some[i % 6][:80].copy(), some[i % 6][80:].copy()) if i % 4 == 0 else (word(80), word(80))
+        for side in (left, right):
+            edited = rng.random(80) < 0.12
+            side[edited] = word(int(edited.sum()))
+        x = np.concatenate([left[80 - int(rng.integers(0, 80)) :], line, right[: int(rng.integers(0, 80))]])
+        at = int(np.flatnonzero((np.lib.stride_tricks.sliding_window_view(x, 24) == line).all(axis=1))[0]) + 8
+        made.append((i, 0, at, x[max(at - substrings.CONTEXT, 0) : at + substrings.K + substrings.CONTEXT]))
+
+    def over(i, j):
+        a, c = (min(made[k][2], substrings.CONTEXT) for k in (i, j))
+        return any(lo <= a and hi >= a + substrings.K for lo, hi, *_ in substrings.align(made[i][3], made[j][3], a, a + substrings.K, c, c + substrings.K))
+
+    rows = [(*r[:3], r[3].tobytes()) for r in made]
+    got = substrings.partners(rows, rows, 50, 0.8)
+    want = {i for i in range(160) if any(over(i, j) for j in range(i))}
+    assert all(j < i for i, j in got) and len(want) > 20 and {i for i, j in got if over(i, j)} == want
+    assert len(got) < 160 * 159 / 2 / 4
+
+
 def test_substrings_passage_in_parts_of_two_documents(spark):
     """Of the 80 words that 3 repeats from 2, document 1 has the first 40: no part that is matched with one first occurrence has 50."""
     rng = np.random.default_rng(15)
