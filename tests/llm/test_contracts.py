@@ -472,6 +472,30 @@ def test_substrings_partners_against_all_pairs():
     assert len(got) < 160 * 159 / 2 / 4
 
 
+def test_substrings_partners_are_alignments_alone():
+    """Occurrences in runs of one word, which share 40 words and more by the bag: only pairs that align finds a passage of are given, so few of them are left to verify."""
+    rng = np.random.default_rng(31)
+    word = lambda n: rng.zipf(1.3, n).clip(0, 400).astype(np.uint32) * np.uint32(2654435761)
+    rows = []
+    for i in range(150):
+        run = np.full(int(rng.integers(30, 48)), 7, np.uint32)
+        x = np.concatenate([word(64), run, word(64)])
+        at = 64 + 16 * int(rng.integers(0, 2))
+        rows.append((i, 0, at, x[max(at - substrings.CONTEXT, 0) : at + substrings.K + substrings.CONTEXT].tobytes()))
+    found = {}
+    for i in range(150):
+        for j in range(i):
+            x, y = (np.frombuffer(rows[k][3], np.uint32) for k in (i, j))
+            if spans := substrings.align(x, y, 64, 72, 64, 72):
+                found[i, j] = any(lo <= 64 and hi >= 72 for lo, hi, *_ in spans)
+    got = substrings.partners(rows, rows, 50, 0.8)
+    assert set(got) <= found.keys() and len(found) > 20
+    for i in range(150):  # all up to the first over the seed
+        mine = [j for a, j in sorted(found) if a == i]
+        stop = next((k for k, j in enumerate(mine) if found[i, j]), len(mine))
+        assert sorted(j for a, j in got if a == i) == mine[: stop + 1]
+
+
 def test_substrings_passage_in_parts_of_two_documents(spark):
     """Of the 80 words that 3 repeats from 2, document 1 has the first 40: no part that is matched with one first occurrence has 50."""
     rng = np.random.default_rng(15)
