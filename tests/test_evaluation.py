@@ -1,12 +1,15 @@
 """Hand-computed cases of evaluation, labels, files and models."""
 
 import hashlib
+import time
 
+import duckdb
 import numpy as np
 import pytest
 
 from lumenlake.functions import keys, labels
 from lumenlake.operators import evaluation, metrics, models, prefix, rolling, rules, similarity, temporal, vectors
+from lumenlake.plans import evaluation as plans_evaluation
 from lumenlake.plans import training
 from lumenlake.sources import files
 from lumenlake.streaming import ledger
@@ -178,6 +181,51 @@ def test_best_prior_loses_no_link(spark):
     assert similarity.best_prior(spark.createDataFrame([], "k long, g string, place int, weight double"), "k", "g", 0.6).count() == 0
 
 
+def _cosine_dups(spark, tmp_path, rows):
+    """The query's rows, those of its SQL, and the bytes that the query shuffled."""
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    written = lambda: time.sleep(1) or spark.sparkContext._jsc.sc().statusStore().executorList(False).head().totalShuffleWrite()
+    before = written()
+    got = sorted(map(tuple, plans_evaluation.tfidf_cosine_dups(spark, str(tmp_path)).collect()))
+    after = written()
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    return got, sorted(db.execute(plans_evaluation.SQL["tfidf_cosine_dups"]).fetchall()), after - before
+
+
+def test_cosine_dups_shuffle_no_pairs(spark, tmp_path):
+    """Documents that share their rarest terms, as those of a language do: neither the terms of rows nor pairs are shuffled."""
+    rnd = np.random.default_rng(4)
+    pool = [f"w{k}" for k in range(120)]
+    rows = [(k, " ".join(rnd.choice(pool, 70)), "en") for k in range(900)]
+    rows += [(900 + k, rows[k * 7][1] + (" w1 w2" if k % 2 else ""), "en") for k in range(60)]
+    got, want, shuffled = _cosine_dups(spark, tmp_path, rows)
+    assert got == want and len(got) == 60
+    assert shuffled < 10 * sum(len(r[1]) for r in rows)
+
+
+def test_cosine_dups_odd_rows(spark, tmp_path):
+    """Ids that repeat in one language or two count as often as in SQL; ids, texts and languages of null, and rows without terms."""
+    texts = ["alpha beta gamma delta", "alpha beta gamma epsilon", "zeta eta theta iota kappa", "alpha beta gamma delta", "zeta eta theta iota", "x", "", None, "one two", "one one two two"]
+    rows = [(k, t, "en") for k, t in enumerate(texts)] + [(20 + k, t, None) for k, t in enumerate(texts)]
+    got, want, _ = _cosine_dups(spark, tmp_path / "plain", rows)
+    assert got == want and len(got) >= 4
+    rows += [(1, texts[0], "en"), (3, texts[2], "de"), (4, texts[3], "en"), (4, texts[4], "en"), (None, texts[0], "en"), (None, texts[2], "en"), (40, texts[2], "de")]
+    got, want, _ = _cosine_dups(spark, tmp_path / "repeated", rows)
+    assert got == want and len(got) >= 4
+
+
+def test_frequent_terms_of_ties(spark):
+    """Of terms with one count the smallest are taken, words and pairs alike; a bound that too few terms reach falls."""
+    df = spark.createDataFrame([(k, " ".join(f"{c}{c}" for c in "fbdgaceh"[: 4 + k % 5]) + " zz" * 40, "en") for k in range(40)], "id long, text string, g string")
+    for most in (1, 2, 3, 6, 9, 12, 100):
+        want = vectors.tf_idf(df, "id", "text", 2, most).groupBy("id").agg(F.count("*").alias("n"), F.sum("weight").alias("w"))
+        found, idf = vectors.term_vectors(df, "id", "text", "g", 2, most)
+        weigh = similarity.by_counts(idf)
+        got = {r.id: (r.n, round(float(weigh(np.frombuffer(r.places, np.uint16), np.frombuffer(r.counts, np.uint8), np.array([0, r.n])).sum()), 6)) for r in found.collect()}
+        assert got == {r.id: (r.n, round(r.w, 6)) for r in want.collect()}, most
+
+
 def test_accents_fold(spark):
     df = spark.createDataFrame([("ÉÀñ ß ø ǎ ế é 日本",)], "t string")
     assert df.select(vectors.folded(F.lower("t"))).first()[0] == "ean ß ø a e e 日本"
